@@ -43,3 +43,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *keys: str, tasks_per_core: int = 3) -> DataFrame:
+    """``scan`` in enough partitions for costly work on every row.
+
+    A small file arrives in a few partitions, fewer than there are cores; only then are its rows shuffled by ``keys``. A large
+    table arrives in many partitions and stays as it is. Call it on scans and projections of scans only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(tasks_per_core * cores, *keys)
