@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakesift.llm.bpe import encode_corpus
 from lakesift.llm.mixing import mix
+from lakesift.llm.subjects import unlabelled_subjects
 from lakesift.runtime import table
 
 
@@ -24,5 +25,10 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects of the documents nobody has labelled."""
+    return unlabelled_subjects(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
