@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.llm.credentials import credentials, redact
+from lakesift.llm.handwritten import judged, not_by_hand
 from lakesift.runtime import table
 
 
@@ -24,5 +25,18 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(rows, "code_snippet").select("id", F.col("code_snippet_masked").alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that were not written by hand."""
+    return not_by_hand(table(spark, sf, "parsed_files"), table(spark, sf, "scan_configs"))
+
+
+def p7_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by extension, and how many of them were written by hand."""
+    files = table(spark, sf, "parsed_files")
+    sides = judged(files, table(spark, sf, "scan_configs")).join(files.select("file_id", "path"), "file_id")
+    extension = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("extension")
+    return sides.groupBy(extension).agg(F.count("*").alias("files"), F.count_if("by_hand").alias("by_hand"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p7_found, p7_by_language)}
 SQL: dict[str, str] = {}
