@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 
 from lakesift.llm.credentials import credentials, redact
 from lakesift.llm.handwritten import judged, not_by_hand
+from lakesift.llm.syntax import invalid_files, rates
 from lakesift.runtime import table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are not valid in their language."""
+    return invalid_files(table(spark, sf, "parsed_files"))
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of invalid files per repository and language."""
+    return rates(table(spark, sf, "parsed_files"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Credentials written out in snippets of both finding tables."""
     parts = []
@@ -38,5 +49,5 @@ def p7_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return sides.groupBy(extension).agg(F.count("*").alias("files"), F.count_if("by_hand").alias("by_hand"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p7_found, p7_by_language)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p5_found, p5_redacted, p7_found, p7_by_language)}
 SQL: dict[str, str] = {}
