@@ -131,18 +131,18 @@ def dedup_deliveries(rows: DataFrame, id_col: str, order_col: str, state: SeenSt
     ``kept`` has all columns of ``rows``: one delivery of every identifier not seen before, and every delivery without an
     identifier. ``dropped`` has the columns too: every delivery with a smaller-numbered or earlier-batch copy.
     """
-    chosen = _choose(rows, id_col, order_col, state).withColumnsRenamed({"id": "_c_id", "n": "_c_n"})
-    keyed = rows.withColumns({"_m_id": trimmed(F.col(id_col)), "_m_n": F.col(order_col)})
-    same = F.col("_m_id").eqNullSafe(F.col("_c_id")) & F.col("_m_n").eqNullSafe(F.col("_c_n"))
-    dropped = keyed.where("_m_id is not null").join(chosen, same, "left_anti").drop("_m_id", "_m_n")
-    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    chosen = _choose(rows, id_col, order_col, state).select(F.col("id").alias("c_id"), F.col("n").alias("c_n"))
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])  # the row travels whole: its names cannot meet those of the join
+    keyed = rows.select(trimmed(F.col(id_col)).alias("m_id"), F.col(order_col).alias("m_n"), every.alias("r"))
+    named = keyed.where("m_id is not null")
+    same = F.col("m_id").eqNullSafe(F.col("c_id")) & F.col("m_n").eqNullSafe(F.col("c_n"))
+    dropped = named.join(chosen, same, "left_anti").select("r.*")
     kept = (
-        keyed.where("_m_id is not null")
-        .join(chosen, same, "left_semi")
-        .groupBy("_m_id")
-        .agg(F.min_by(every, F.sha2(F.to_json(every), 256)).alias("r"))
+        named.join(chosen, same, "left_semi")
+        .groupBy("m_id")
+        .agg(F.min_by("r", F.sha2(F.to_json("r"), 256)).alias("r"))
         .select("r.*")
-        .unionByName(rows.where(trimmed(F.col(id_col)).isNull()))
+        .unionByName(keyed.where("m_id is null").select("r.*"))
     )
     return kept, dropped
 
