@@ -51,7 +51,7 @@ LIBRARY = re.compile(
 )
 OWN = re.compile(r"(?im)copyright \(c\) the [\w-]+ team|maintainers of this repository|maintained by hand|edited by hand|internal use only")
 PACKAGE_DIRS = re.compile(
-    r"(?:^|/)(?:third[_-]?party|vendors?|external|externals|node_modules|bower_components|jspm_packages|site-packages|dist-packages|upstream|pods|carthage|godeps)/(?:.*/)?([\w.-]+?)(?:-\d[\w.]*)?(?:/|$)"
+    r"(?:^|/)(?:third[_-]?party|vendors?|external|externals|node_modules|bower_components|jspm_packages|site-packages|dist-packages|upstream|pods|carthage|godeps)/(?:@[\w-]+/)?([a-z]\w*)(?:-\d[\w.]*)?(?:[/.-]|$)"
 )
 GENERATED_NAMES = re.compile(r"(?:^|/)(?:__generated__|generated-sources|generated|gen)/|_pb2(?:_grpc)?\.py$|\.pb\.go$|\.g\.cs$|\.designer\.cs$|(?:^|/)zz_generated[_.]")
 MINIFIED_NAMES = re.compile(r"[.-](?:min|bundle|chunk)\.[a-z]+$|\.[0-9a-f]{8,}\.[a-z]+$")

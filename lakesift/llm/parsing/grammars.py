@@ -40,7 +40,7 @@ Named : '{' ((Spec % ',') ','?)? '}' ;
 Spec : @TYPEWORD ModuleName ('as' ModuleName)? ;
 ModuleName : NAME | STR | Reserved ;
 Export : 'export' (Var ';' | Function | Class) | 'export' 'default' (Assign ';' | Function | Class | Anonymous @EXPORTDEFAULT) | 'export' @TYPEWORD Named ('from' STR With?)? ';'
-  | 'export' @TYPEWORD '*' ('as' ModuleName)? 'from' STR With? ';' @MOREEXPORT ;
+  | 'export' @TYPEWORD '*' ('as' ModuleName)? 'from' STR With? ';' | Decorators 'export' 'default'? Class @MOREEXPORT ;
 Anonymous : 'async'? 'function' '*'? Signature Block ;
 Expr : Assign % ',' ;
 Assign : Cond | Lhs AssignOp Assign | Arrow | 'yield' ('*'? Assign)? ;
@@ -259,7 +259,7 @@ LambdaParam : NAME | Modifier* Type '...'? NAME ;
 Cond : Binary ('?' Expr ':' (Cond | Lambda))? ;
 Binary : Unary | Binary BinOp Unary | Binary 'instanceof' (Type | Pattern) ;
 BinOp : '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' ;
-Unary : Postfix | Postfix ('++' | '--') | ('+' | '-' | '!' | '~' | '++' | '--') Unary | '(' Type ('&' Type)* ')' Unary | '(' Type ')' Lambda ;
+Unary : Postfix | Postfix ('++' | '--') | ('+' | '-' | '!' | '~' | '++' | '--') Unary | '(' Type ('&' Type)* ')' (Unary | Lambda) ;
 Postfix : NAME | NUM | STR | CHAR | 'true' | 'false' | 'null' | 'this' | 'super' | '(' Expr ')' | New | Postfix '.' NAME | Postfix '.' 'this' | Postfix '.' 'super' | Postfix '.' New | Postfix '.' TypeArgs? NAME Args | NAME Args
   | ('this' | 'super') Args | Postfix '[' Expr ']' | Postfix '.' 'class' | (Prim | 'void') Dims? '.' 'class' | ClassType Dims '.' 'class' | (Postfix | Type) '::' TypeArgs? (NAME | 'new') | Switch ;
 New : 'new' TypeArgs? Annotation* ClassType Args ClassBody? | 'new' (Prim | ClassType) ('[' Expr ']')+ Dims? | 'new' (Prim | ClassType) Dims ArrayInit ;
@@ -317,7 +317,7 @@ Type : CoreType | Type '?' | Type '[' ','* ']' | Type '*' | 'void' '*' ;
 CoreType : Builtin | NamedType | '(' TupleItem (',' TupleItem)+ ')' | 'delegate' '*' TypeArgs ;
 TupleItem : Type NAME? ;
 NamedType : NAME TypeArgs? | NAME '::' NAME TypeArgs? | NamedType '.' NAME TypeArgs? ;
-TypeArgs : '<' ((Type % ',') | 'void' | ','*) '>' ;
+TypeArgs : '<' (((Type | 'void') % ',') | ','*) '>' ;
 Block : '{' BlockStmt* '}' ;
 BlockStmt : Stmt | LocalFunction ;
 LocalFunction : AttrList* ('static' | 'async' | 'unsafe' | 'extern')* ReturnType NAME TypeParams? Params Where* Body ;

@@ -184,6 +184,8 @@ class Lexer:
                             if not depth:
                                 return at
                             depth -= 1
+                    if self.script and fresh and o in ("++", "--") and self.last == "value":
+                        out.append((self.semicolon, at, True))  # these never follow what they change across a line break
                     k = kinds.get(o)
                     if k is None:
                         raise LexError(at, f"{o} is no operator here")
