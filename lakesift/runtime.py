@@ -5,10 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, once per application: Python workers import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lakesift_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(SparkFiles.getRootDirectory(), f"lakesift-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("lakesift", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._lakesift_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``root`` (one parquet file or folder each)."""
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -51,6 +70,7 @@ def spread(scan: DataFrame, *keys: str, tasks_per_core: int = 3) -> DataFrame:
     A small file arrives in a few partitions, fewer than there are cores; only then are its rows shuffled by ``keys``. A large
     table arrives in many partitions and stays as it is. Call it on scans and projections of scans only.
     """
+    ship_package(scan.sparkSession)
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= 2 * cores:
         return scan
