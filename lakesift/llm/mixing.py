@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import WORDS, default_path
-from lakesift.runtime import materialise, spread
+from lakesift.runtime import materialise, ship_package, spread
 
 MAX_SOURCES = 10_000
 ROWS_PER_BUCKET = 50_000
@@ -46,6 +46,7 @@ def quality(text: Column) -> Column:
 
 def token_counts(docs: DataFrame, text_col: str, path: str | None = None) -> DataFrame:
     """``docs`` with its text replaced by ``tokens``, the number of tokens of the public byte-level tokenizer (0 for null)."""
+    ship_package(docs.sparkSession)
     path = path or default_path().replace(".json", ".tiktoken")
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
