@@ -49,9 +49,8 @@ def article_report(findings: DataFrame, framework: str) -> DataFrame:
     from lakesift.functions.names import rank
     from lakesift.rules.dictionary import SEVERITY_RANK
 
-    rows = findings.select("id", rank(F.col("severity"), SEVERITY_RANK).alias("rank"), F.posexplode("framework_mappings").alias("pos", "m")).where(
-        F.col("m.framework") == framework
-    )
+    own = F.filter("framework_mappings", lambda m: m["framework"] == framework)
+    rows = findings.select("id", rank(F.col("severity"), SEVERITY_RANK).alias("rank"), F.posexplode(own).alias("pos", "m"))
     per = rows.groupBy(F.col("m.article").alias("article")).agg(
         F.count_distinct("id").alias("findings"), F.max("rank").alias("max_rank"), F.min_by("m.title", F.struct("pos", "id")).alias("title")
     )

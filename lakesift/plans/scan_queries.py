@@ -277,7 +277,7 @@ SELECT callee, n, kind FROM (SELECT callee, n, {_SINK} AS kind FROM c) WHERE kin
     "fw_mapping_explode": _MAPPED + "SELECT framework, article, title, count(*) AS n FROM mapped GROUP BY ALL",
     "fw_article_report": _MAPPED
     + """SELECT framework, article, count(DISTINCT id) AS findings, max(rank) AS max_rank, arg_min(title, (per, id)) AS title, CASE WHEN max(rank) >= 2 THEN 'AT RISK' ELSE 'REVIEW' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY framework, id ORDER BY pos) AS per FROM mapped) GROUP BY framework, article""",
+FROM (SELECT *, row_number() OVER (PARTITION BY framework, id ORDER BY pos) AS per FROM (SELECT DISTINCT * FROM mapped)) GROUP BY framework, article""",
     "severity_summary": "SELECT pii_type, "
     + ", ".join(f"count(*) FILTER (lower(trim(severity)) = '{s}') AS {s}" for s in reports.LEVELS)
     + ", count(*) AS total FROM scan_findings GROUP BY pii_type",
