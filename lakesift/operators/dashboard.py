@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.functions.names import rank
@@ -37,11 +37,10 @@ def daily_trend(scans: DataFrame, now: Column | None = None, days: int = 30) ->
 
 
 def type_distribution(scans: DataFrame, per_team: int = 10) -> DataFrame:
-    """Types over each team's latest scans: the JSON maps, summed by key. Latest are kept by an aggregate bounded to ``per_team`` rows a team."""
-    latest = scans.where("team_id is not null").groupBy("team_id").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("created_at", "id", "pii_type_summary")), asc=False), 1, per_team).alias("s")
-    )
-    each = latest.select("team_id", F.explode("s").alias("s")).select("team_id", F.explode(F.from_json("s.pii_type_summary", "map<string,bigint>")).alias("pii_type", "n"))
+    """Types over each team's latest scans: the JSON maps, summed by key. Spark limits each team's rows before the shuffle already."""
+    newest = Window.partitionBy("team_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    latest = scans.where("team_id is not null").select("team_id", "pii_type_summary", F.row_number().over(newest).alias("_n")).where(F.col("_n") <= per_team)
+    each = latest.select("team_id", F.explode(F.from_json("pii_type_summary", "map<string,bigint>")).alias("pii_type", "n"))
     return each.groupBy("team_id", "pii_type").agg(F.sum("n").cast("bigint").alias("n"))
 
 
