@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.config import CustomSink, CustomType
@@ -25,15 +25,19 @@ def dictionary_entries(custom: Sequence[CustomType] = ()) -> list[tuple[int, str
     return [(i, *flat[i]) for i in order]
 
 
-def dictionary_number(name: Column, custom: Sequence[CustomType] = ()) -> Column:
-    """Number of the deciding pattern of a name, or null; each pattern is a constant and compiled once a task."""
-    return F.coalesce(*[F.when(name.rlike(f"(?i){p}"), F.lit(i)) for i, _, _, _, p, _ in dictionary_entries(custom)])
+def dictionary_rule(name: Column, custom: Sequence[CustomType] = ()) -> Column:
+    """Type, category, severity and confidence of the deciding pattern of a name, or null; each pattern is a constant, compiled once a task."""
+    return F.coalesce(
+        *[
+            F.when(name.rlike(f"(?i){p}"), F.struct(F.lit(t).alias("pii_type"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(k).alias("confidence")))
+            for _, t, c, s, p, k in dictionary_entries(custom)
+        ]
+    )
 
 
-def dictionary_table(spark: SparkSession, custom: Sequence[CustomType] = ()) -> DataFrame:
-    """(rule, pii_type, category, severity, confidence): one row per pattern, a few hundred at most."""
-    rows = [(i, t, c, s, k) for i, t, c, s, _, k in dictionary_entries(custom)]
-    return spark.createDataFrame(rows, "rule int, pii_type string, category string, severity string, confidence string")
+def in_dictionary(name: Column, custom: Sequence[CustomType] = ()) -> Column:
+    """Whether any pattern matches a name: one alternation, so that most names meet one pattern only."""
+    return name.rlike("(?i)" + "|".join(f"(?:{p})" for _, _, _, _, p, _ in dictionary_entries(custom)))
 
 
 def match_names(names: DataFrame, name_col: str, custom: Sequence[CustomType] = ()) -> DataFrame:
@@ -42,9 +46,9 @@ def match_names(names: DataFrame, name_col: str, custom: Sequence[CustomType] =
     Names repeat, so the patterns run over distinct names and the matches, of which there are few, are joined back.
     """
     distinct = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct()
-    hits = distinct.where(~is_safe(F.col("_name"))).withColumn("rule", dictionary_number(F.col("_name"), custom)).where("rule is not null")
-    rules = dictionary_table(names.sparkSession, custom)
-    return names.join(hits.join(F.broadcast(rules), "rule").drop("rule"), F.col(name_col) == F.col("_name")).drop("_name")
+    known = distinct.where(in_dictionary(F.col("_name"), custom) & ~is_safe(F.col("_name")))
+    hits = known.withColumn("_rule", dictionary_rule(F.col("_name"), custom)).select("_name", "_rule.*")
+    return names.join(hits, F.col(name_col) == F.col("_name")).drop("_name")
 
 
 def is_safe(name: Column) -> Column:
