@@ -43,9 +43,12 @@ def in_dictionary(name: Column, custom: Sequence[CustomType] = ()) -> Column:
 def match_names(names: DataFrame, name_col: str, custom: Sequence[CustomType] = ()) -> DataFrame:
     """``names`` with pii_type, category, severity and confidence of each name that matches.
 
-    Names repeat, so the patterns run over distinct names and the matches, of which there are few, are joined back.
+    Names repeat, so the patterns run over distinct names and the matches, of which there are few, are joined back. Distinct names are few
+    bytes but costly ones: they are spread over all cores, or small shuffles would be merged into one task.
     """
-    distinct = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct()
+    spark = names.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct().repartition(tasks, "_name")
     known = distinct.where(in_dictionary(F.col("_name"), custom) & ~is_safe(F.col("_name")))
     hits = known.withColumn("_rule", dictionary_rule(F.col("_name"), custom)).select("_name", "_rule.*")
     return names.join(hits, F.col(name_col) == F.col("_name")).drop("_name")
