@@ -86,11 +86,23 @@ HELD_IN = re.compile(r"(?:self|this|req|request|config|conf|settings|env|os|proc
 #: Characters before a literal in which its name or call is looked for.
 NEAR = 240
 
-#: What a row must show, at least, to be looked at in Python (a superset of all rules above; Java and Python agree on it).
+# Words in the names of calls that open something with a credential.
+CALL_WORDS = ("login", "connect", "auth", "credential", "client", "open", "signin", "session", "account", "smtp", "ftp", "bind")
+
+
+def _as_word(w: str) -> str:
+    """The forms in which ``words_of`` may read a word out of an identifier."""
+    return rf"{w.upper()}(?![a-z])|[{w[0].upper()}{w[0]}]{w[1:]}(?![a-z])"
+
+
+#: What a row must show, at least, to be looked at in Python: a superset of all rules above and of ``spans``, built from their words. Java
+#: and Python agree on it, so classes that differ between them (``\w``, ``\s``) stand only where Java's are the wider.
 HINT = (
-    r"(?i)(PRIVATE KEY|eyJ[\w-]{8}|://[^\s:/@\"'`]*:|bearer\s|basic\s|[?&][\w.-]+=|curl\b|sshpass|mysql|PGPASSWORD|"
-    r"(pass|pwd|secret|token|key|cred|auth|cookie|sig|jwt|pem|login|connect|client|\bpat\b)|"
-    r"[\"'`][A-Za-z0-9_.+/=-]{18,}[\"'`])"
+    r"(?iu)(eyJ|://[^\s:/@\"'`]*:|curl|mysql|bearer|basic|token|password|secret|passphrase|credential|k[^a-z0-9]*e[^a-z0-9]*y|"
+    + "|".join(CALL_WORDS)
+    + r"|[\"'`][A-Za-z0-9_.-]{18,}[\"'`]|(?-i:"
+    + "|".join(_as_word(w) for w in sorted(SECRET_WORDS))
+    + "))"
 )
 
 
@@ -254,7 +266,7 @@ def _literals(text: str, literals: list[re.Match], add, free) -> None:
                     add(a, b)
                 continue
             head = text[max(0, m.start() - NEAR) : m.start()]
-            call = re.search(r"(?i)(?<![\w.$])([\w.$]*(?:login|connect|auth|credential|client|open|signin|session|account|smtp|ftp|bind)[\w]*)\s*(?:[:=]+\s*)?\((?:[^()]*)$", head)
+            call = re.search(rf"(?i)(?<![\w.$])([\w.$]*(?:{'|'.join(CALL_WORDS)})[\w]*)\s*(?:[:=]+\s*)?\((?:[^()]*)$", head)
             last = re.match(r"\s*[)\]]", text[m.end() :])
             if call and last and works(v) and not re.search(r"://|@|^\d+$|\.(?:com|example|net|org)\b", v):
                 add(a, b)
