@@ -31,9 +31,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Every stored finding with its masked snippet."""
-    rows = table(spark, sf, "scan_findings").select("id", "code_snippet")
-    return redact(rows, "code_snippet").select("id", F.col("code_snippet_masked").alias("snippet"))
+    """Every row of both finding tables with its masked snippet."""
+    parts = []
+    for name in ("findings", "scan_findings"):
+        rows = redact(table(spark, sf, name).select("id", "code_snippet"), "code_snippet")
+        parts.append(rows.select(F.lit(name).alias("source_table"), "id", F.col("code_snippet_masked").alias("snippet")))
+    return parts[0].unionByName(parts[1])
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

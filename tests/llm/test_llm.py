@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakesift.llm import bpe, credentials, handwritten, mixing, registry, subjects
 from lakesift.llm import syntax as syn
 from lakesift.llm.parsing import first_fault, language_of
+from lakesift.runtime import table
 
 HAVE_VOCABULARY = os.path.exists(bpe.default_path())
 needs_vocabulary = pytest.mark.skipif(not HAVE_VOCABULARY, reason="no vocabulary files")
@@ -145,6 +146,14 @@ def test_masking_changes_nothing_else(noise, core):
     assert all(inside[i] or out[i] == text[i] for i in range(len(text)))
 
 
+def test_redacted_covers_both_tables(spark, sf):
+    got = {r.source_table: r.n for r in registry.QUERIES["p5_redacted"](spark, sf).groupBy("source_table").agg(F.count("*").alias("n")).collect()}
+    assert got == {name: table(spark, sf, name).count() for name in ("findings", "scan_findings")}
+    found = registry.QUERIES["p5_found"](spark, sf).where("source_table = 'findings'").withColumnRenamed("finding_id", "id")
+    out = registry.QUERIES["p5_redacted"](spark, sf).where("source_table = 'findings'")
+    assert found.count() > 0 and out.join(found, "id").where("contains(snippet, credential)").count() == 0
+
+
 HINT_ONLY = [  # found by a rule, and once dropped before it
     "export GITHUB_PAT=ghp_x81Kq02LmZ", "azurePat: q81Kz02Lm!x", 'smtp("mail.host", "bob", "h7!kQz91")', 'bind("cn=admin", "h7!kQz91")', "BEARER=h7!kQz91x", "bearer: h7!kQz91x",
     "Basic\u00a0dXNlcjpwYXNzMTI=", "api_k_ey=h7!kQz91x",
