@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,20 +75,25 @@ SETTING = re.compile(
 )
 MARKUP = re.compile(r"<(?P<tag>[\w.:-]+)(?P<attrs>[^<>]*)>(?P<v>[^<>\s]+)</")
 ATTR = re.compile(r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+# Command words, options that carry a password, and line ends (a backslash continues the line); read in one forward scan.
 COMMAND = re.compile(
-    r"""\bcurl\b[^\n]{0,400}?\s(?:-u|--user)[= ]['"]?[^\s:'"]+:(?P<a>[^\s'"]+)|\bsshpass\s+-p\s*['"]?(?P<b>[^\s'"]+)|"""
-    r"""\bmysql(?:dump|admin)?\b[^\n]{0,400}?\s(?:-p|--password=)(?P<c>[^\s'"]+)|\bPGPASSWORD=(?P<d>[^\s'"]+)"""
+    r"""\b(?P<curl>curl)\b|\b(?P<mysql>mysql(?:dump|admin)?)\b|\s(?:-u|--user)[= ]['"]?[^\s:'"]+:(?P<a>[^\s'"]+)|\s(?:-p|--password=)(?P<c>[^\s'"]+)|"""
+    r"""\bsshpass\s+-p\s*['"]?(?P<b>[^\s'"]+)|\bPGPASSWORD=(?P<d>[^\s'"]+)|(?P<end>(?<!\\)(?<!\\\r)\n)"""
 )
 REMARK = re.compile(r"(?://|#|--|/\*|<!--)(?P<text>[^\n]*)")
 SAID = re.compile(r"(?i)\b(?:key|token|password|secret|passphrase|credential)s?\b[^\n]{0,12}?\b(?:was|is|were|are|equals|now)\b\s*:?\s*[\"'`]?(?P<v>[^\s,;\"'`]+)")
-NAME_BEFORE = re.compile(r"""(?:["'`]?(?P<k>[A-Za-z_@][\w.$-]*)["'`]?\s*\]?\s*(?::\s*[A-Za-z_][\w<>\[\]| ?.]*)?\s*(?P<op>===?|!==?|:=|=>|\?\?=|=|:)\s*[a-zA-Z@$]{0,2})$""")
+# What may stand right before a literal that is named: first the end of it, then each word where the whole may begin.
+NAMING = re.compile(r"[=>:]\s*[a-zA-Z@$]{0,2}$")
+NAME_STARTS = re.compile(r"""["'`]?[A-Za-z_@][\w.$-]*+""")
+NAME_BEFORE = re.compile(r"""(?:["'`]?(?P<k>[A-Za-z_@][\w.$-]*+)["'`]?\s*\]?\s*(?::\s*[A-Za-z_][\w<>\[\]| ?.]*)?\s*(?P<op>===?|!==?|:=|=>|\?\?=|=|:)\s*[a-zA-Z@$]{0,2})$""")
 HELD_IN = re.compile(r"(?:self|this|req|request|config|conf|settings|env|os|process|body|params|input|args|options|opts|props|ctx|state|user|vault|secrets?)\.")
 
-#: Characters before a literal in which its name or call is looked for.
-NEAR = 240
-
 # Words in the names of calls that open something with a credential.
 CALL_WORDS = ("login", "connect", "auth", "credential", "client", "open", "signin", "session", "account", "smtp", "ftp", "bind")
+CALL = re.compile("(?i)" + "|".join(CALL_WORDS))
+BRACKET = re.compile(r"[()]")
+VALUE_AFTER = re.compile(r"\s+value\s*=")
+CLOSED_AFTER = re.compile(r"\s*[)\]]")
 
 
 def _as_word(w: str) -> str:
@@ -197,10 +203,9 @@ def spans(text: str) -> list[tuple[int, int]]:
     for m in DEFAULT.finditer(text):
         if names_secret(m["k"]) and works(m["v"]):
             add(*m.span("v"))
-    for m in COMMAND.finditer(text):
-        k = m.lastgroup
-        if k and not stands_in(m[k]):
-            add(*m.span(k))
+    for a, b in _commands(text):
+        if not stands_in(text[a:b]):
+            add(a, b)
     literals = list(LITERAL.finditer(text))
     quoted = bytearray(len(text))
     for m in literals:
@@ -228,15 +233,77 @@ def spans(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _commands(text: str) -> Iterator[tuple[int, int]]:
+    """Places of passwords on command lines: one scan that keeps the command words read since the line began."""
+    running: set[str] = set()
+    at = 0
+    while m := COMMAND.search(text, at):
+        k, at = m.lastgroup, m.end()
+        if k in ("curl", "mysql"):
+            running.add(k)
+        elif k == "end":
+            running.clear()
+        elif k in ("b", "d"):
+            yield m.span(k)
+        elif (command := "curl" if k == "a" else "mysql") in running:
+            running.discard(command)
+            yield m.span(k)
+        else:
+            at = m.start() + 1  # an option of something else: only its white space is read
+
+
+def _short_space(m: re.Match) -> str:
+    """White space that patterns treat like ``m``, of one character."""
+    s = m[0]
+    return s if s == "\n" else "\t" if s.strip(" ") else " "
+
+
+def _named(before: str) -> re.Match | None:
+    """The name before a literal: it stands in the gap before it, or is the literal before that gap. A word is tried once, so long ones cost no more."""
+    before = re.sub(r"\s+", _short_space, before)
+    return next((m for w in NAME_STARTS.finditer(before) if (m := NAME_BEFORE.match(before, w.start()))), None)
+
+
+def _open_brackets(text: str, literals: list[re.Match]) -> list[int]:
+    """For each literal the place of the innermost round bracket open before it, or -1; brackets in literals do not count."""
+    out, stack, at = [], [], 0
+    for m in literals:
+        for b in BRACKET.finditer(text, at, m.start()):
+            if b[0] == "(":
+                stack.append(b.start())
+            elif stack:
+                stack.pop()
+        out.append(stack[-1] if stack else -1)
+        at = m.end()
+    return out
+
+
+def _opens(text: str, bracket: int) -> bool:
+    """Whether the name before a bracket is that of a call that opens something with a credential."""
+    end = bracket
+    while end and text[end - 1].isspace():
+        end -= 1
+    while end and text[end - 1] in ":=":
+        end -= 1
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return bool(CALL.search(text, start, end))
+
+
 def _literals(text: str, literals: list[re.Match], add, free) -> None:
     """String literals: their name is what they are assigned to, compared with, or passed to."""
+    inner = _open_brackets(text, literals)
+    opens = cache(lambda bracket: bracket >= 0 and _opens(text, bracket))
     for i, m in enumerate(literals):
         group = m.lastgroup
         a, b = m.span(group)
         v = text[a:b]
         if not free(a, b):
             continue
-        before = text[max(0, m.start() - NEAR) : m.start()]
+        gap = text[literals[i - 1].end() if i else 0 : m.start()]
         if ";" in v and "=" in v:  # a connection string
             pairs = [(p["k"], p.span("v"), p["v"]) for p in PAIR.finditer(v)]
             for k, (x, y), pv in pairs:
@@ -244,12 +311,12 @@ def _literals(text: str, literals: list[re.Match], add, free) -> None:
                     add(a + x, a + y)
             if pairs:
                 continue
-        named = NAME_BEFORE.search(before)
+        named = _named(text[literals[i - 1].start() if i else 0 : m.start()]) if NAMING.search(gap) else None
         if named:
             compared = named["op"] in ("==", "===", "!=", "!==")
             good = works(v) and (not compared or not v.isalpha())
             name = named["k"].rstrip("]\"'")
-            if re.match(r"\s+value\s*=", text[m.end() : m.end() + 12]):
+            if VALUE_AFTER.match(text, m.end()):
                 continue  # the literal is itself the name
             if names_secret(name) and good or names_key(name) and (drawn(v) or ISSUED.match(v) and not stands_in(v)):
                 add(a, b)
@@ -257,21 +324,22 @@ def _literals(text: str, literals: list[re.Match], add, free) -> None:
         if issued(v) and not (named and set(words_of(named["k"])) & OTHER_WORDS and not names_secret(named["k"])):
             add(a, b)
             continue
-        if i and re.fullmatch(r"\s*,\s*", text[literals[i - 1].end() : m.start()]) or re.search(r"[\w\d],\s*$", before):
+        gap = gap.strip()
+        if i and gap == "," or re.search(r"\w,\Z", gap[-2:]):
             # an argument or tuple member after others
             first = literals[i - 1]
             key = first[first.lastgroup] if i else ""
-            if i and re.fullmatch(r"\s*,\s*", text[first.end() : m.start()]) and names_secret(key) and re.fullmatch(r"[\w.-]+", key):
+            if i and gap == "," and names_secret(key) and re.fullmatch(r"[\w.-]+", key):
                 if works(v):
                     add(a, b)
                 continue
-            head = text[max(0, m.start() - NEAR) : m.start()]
-            call = re.search(rf"(?i)(?<![\w.$])([\w.$]*(?:{'|'.join(CALL_WORDS)})[\w]*)\s*(?:[:=]+\s*)?\((?:[^()]*)$", head)
-            last = re.match(r"\s*[)\]]", text[m.end() :])
+            call = opens(inner[i])
+            last = CLOSED_AFTER.match(text, m.end())
             if call and last and works(v) and not re.search(r"://|@|^\d+$|\.(?:com|example|net|org)\b", v):
                 add(a, b)
             continue
-        attrs = re.search(r"""(?:key|name)\s*=\s*["']([\w.:-]+)["']\s+value\s*=\s*$""", before)
+        pair = text[literals[i - 2].end() if i > 1 else 0 : m.start()]
+        attrs = re.search(r"""(?:key|name)\s*=\s*["']([\w.:-]+)["']\s+value\s*=\s*$""", pair)
         if attrs and names_secret(attrs[1]) and works(v):
             add(a, b)
 

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -154,6 +155,32 @@ def test_redacted_covers_both_tables(spark, sf):
     assert found.count() > 0 and out.join(found, "id").where("contains(snippet, credential)").count() == 0
 
 
+FAR = "x" * 9000
+DISTANT = [
+    (f"curl -H 'X-Long: {FAR}' https://a.example -u bob:h7!kQz91", ["h7!kQz91"]),
+    ("curl -X POST \\\n  -H 'a: b' \\\r\n  --user=bob:h7!kQz91 \\\n  https://a.example", ["h7!kQz91"]),
+    (f"mysqldump --host={FAR} -ph7!kQz91 db", ["h7!kQz91"]),
+    (f'login({FAR}, "bob", "s3cret!")', ["s3cret!"]),
+    ('login(host(1), "b(b", "s3cret!")', ["s3cret!"]),
+    (f'password ={" " * 9000}"h7!kQz91"', ["h7!kQz91"]),
+    (f'{FAR}_password = "h7!kQz91"', ["h7!kQz91"]),
+    (f'<add key="db.password" {" " * 9000}value="h7!kQz91"/>', ["h7!kQz91"]),
+    ("curl https://a.example\ntar -u bob:h7!kQz91", []), ("mysql db | nc\nssh -ph7!kQz91", []), ('login(); note("a", "s3cret!")', []), ('f(login(1), "bob", "s3cret!")', []),
+]
+
+
+@pytest.mark.parametrize("snippet, want", DISTANT)
+def test_no_distance_hides_a_credential(snippet, want):
+    assert [snippet[a:b] for a, b in credentials.spans(snippet)] == want
+
+
+@pytest.mark.parametrize("unit", ["curl -u ", "open(", ' "a"', "a: b ", "password = ", " \n", "login(x, 'a', ", "mysql -p", "a1", "x", "key=\n", "x = \t "])
+def test_long_snippets_take_linear_time(unit):
+    start = time.process_time()
+    credentials.spans(unit * (60_000 // len(unit)) + '\npassword = "x"')
+    assert time.process_time() - start < 2
+
+
 HINT_ONLY = [  # found by a rule, and once dropped before it
     "export GITHUB_PAT=ghp_x81Kq02LmZ", "azurePat: q81Kz02Lm!x", 'smtp("mail.host", "bob", "h7!kQz91")', 'bind("cn=admin", "h7!kQz91")', "BEARER=h7!kQz91x", "bearer: h7!kQz91x",
     "Basic\u00a0dXNlcjpwYXNzMTI=", "api_k_ey=h7!kQz91x",
