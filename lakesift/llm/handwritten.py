@@ -36,6 +36,7 @@ MAX_TRAINING = 100_000
 SEED = 7
 #: Some generated files read as if written by hand; they pull the forest up to about 0.75 for hand-written code that no notice names.
 THRESHOLD = 0.78
+#: Lines after the leading comments in which notices are looked for too (attributes, comments below a package line).
 HEADER_LINES = 14
 
 # How notices of generators, of libraries and of owners begin.
@@ -109,9 +110,17 @@ def features(source: str, excluded: bool) -> list[float]:
     ]
 
 
+def header(source: str) -> str:
+    """All leading comments of a file, however long and many, and the lines right after them."""
+    at = 1 if source.startswith("\ufeff") else 0
+    while m := _HEAD_COMMENT.match(source, at):
+        at = m.end()
+    return source[:at] + "\n".join(source[at:].split("\n", HEADER_LINES)[:HEADER_LINES])
+
+
 def notices(path: str, source: str) -> tuple[str | None, str | None, int | None]:
     """(what a notice says, library it names, training label) of a file."""
-    head = "\n".join(source.split("\n", HEADER_LINES)[:HEADER_LINES])
+    head = header(source)
     package = PACKAGE_DIRS.search(path)
     library = LIBRARY.search(head)
     if package:

@@ -235,6 +235,21 @@ def test_notices(path, source, want):
     assert handwritten.notices(path, source)[0] == want
 
 
+LICENCE = "".join(f"// Licence line {i}.\n" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (LICENCE + "// Code generated by x v1. DO NOT EDIT.\npackage a\n", "generated"), ("/*\n" + LICENCE + "*/\n\n/* Vendored from foo */\nx()\n", "third_party"),
+        ("\ufeff" + LICENCE + "\n/*\n * This file is part of foo.\n */\n", "third_party"), (LICENCE + 'package a;\n\n@Generated("x")\nclass A {}\n', "generated"),
+        (LICENCE + "x()\n" * 40 + "// Code generated by x v1.\n", None),
+    ],
+)
+def test_notices_below_long_licences(source, want):
+    assert handwritten.notices("a.go", source)[:2] == (want, "foo" if want == "third_party" else None)
+
+
 def test_features_do_not_see_notices():
     body = "def f(x):\n    return x + 1\n" * 5
     assert handwritten.features("# Code generated by x v1. DO NOT EDIT.\n" + body, False) == handwritten.features(body, False)
