@@ -28,6 +28,10 @@ KEYWORDS = set(
 GO_KEYWORDS = set(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
 )
+# What may stand in a script's import before its source, and words that begin another statement.
+IMPORT_OPS = set("{ } , * = ( ) .".split())
+IMPORT_WORDS = set("import type from as require".split())
+OTHER_STATEMENTS = set("import export const let var function class interface enum if for while do return switch try throw".split())
 TYPE_WORDS = set("bool boolean byte char decimal double float int long object sbyte short string uint ulong ushort var void String Object".split())
 
 _TOKEN = re.compile(
@@ -250,8 +254,8 @@ def _pairs(toks: list, f: Facts) -> dict[int, int]:
                 out[stack.pop()] = i
             else:
                 f.fault(ln, f"syntax error near `{t}`", f"Unmatched {t}")
-    for i in stack[:MAX_FAULTS]:
-        f.fault(toks[i][2], f"`{toks[i][1]}` is not closed", f"Missing {closing[toks[i][1]]}")
+    for i in stack:
+        f.fault(toks[i][2], f"`{toks[i][1]}` is not closed", f"Missing {closing[toks[i][1]]}")  # as many as are wanted
         out[i] = len(toks)
     return out
 
@@ -340,7 +344,7 @@ def _script_modules(toks: list, match: dict[int, int], f: Facts) -> None:
         """(name, alias) pairs between braces."""
         out, x = [], a
         while x < b:
-            if toks[x][0] == "word" and not (text(x) == "type" and toks[x + 1][0] == "word" and text(x + 1) != "as"):
+            if toks[x][0] == "word" and not (text(x) == "type" and x + 1 < n and toks[x + 1][0] == "word" and text(x + 1) != "as"):
                 alias = text(x + 2) if text(x + 1) == "as" else text(x)
                 out.append((text(x), alias))
                 x += 3 if text(x + 1) == "as" else 1
@@ -348,11 +352,19 @@ def _script_modules(toks: list, match: dict[int, int], f: Facts) -> None:
                 x += 1
         return out
 
+    def ends(x: int) -> bool:
+        """Whether an import without its source ends before a token: a semicolon, the word of another statement, or a word that a line break parts from a word."""
+        if toks[x][0] != "word":
+            return text(x) not in IMPORT_OPS
+        if text(x) in OTHER_STATEMENTS:
+            return True
+        return toks[x][2] != toks[x - 1][2] and text(x) != "from" and (toks[x - 1][0] == "word" or text(x - 1) == ")") and text(x - 1) not in IMPORT_WORDS
+
     for i in range(n):
         line = toks[i][2]
         if text(i) == "import" and text(i + 1) not in ("(", "."):
             x, found = i + 1, []
-            while x < n and toks[x][0] != "str" and toks[x][2] - line < 50 and text(x) != ";":
+            while x < n and toks[x][0] != "str" and not ends(x):
                 if text(x) == "{":
                     found += [("named", alias, name) for name, alias in specs(x + 1, match.get(x, x))]
                     x = match.get(x, x)
@@ -362,7 +374,7 @@ def _script_modules(toks: list, match: dict[int, int], f: Facts) -> None:
                 elif toks[x][0] == "word" and text(x) not in ("from", "type"):
                     found.append(("default", text(x), "default"))
                 x += 1
-            if x < n and toks[x][0] == "str":
+            if x < n and toks[x][0] == "str" and text(x - 1) in ("import", "from", "("):
                 f.imported(_unquote(text(x)), line, found)
         elif text(i) == "export":
             x = i + 1

@@ -183,6 +183,22 @@ def test_lexing_never_fails(language, source):
     assert len(f.warnings) <= lexing.MAX_FAULTS
 
 
+def test_lexing_long_imports():
+    names = [f"name{i}" for i in range(120)]
+    f = lexing.facts_of("import {\n" + ",\n".join(names) + ",\n} from './x';\nimport e, {\n f as g }\n from\n './y'\nimport './z'\n", "typescript")
+    assert [i["source"] for i in f.imports] == ["./x", "./y", "./z"]
+    assert [s["imported"] for s in f.imports[0]["specifiers"]] == names
+    cut = lexing.facts_of("import foo\nconst a = './no'\nimport b from './b'\nimport {\n type", "typescript")
+    assert [i["source"] for i in cut.imports] == ["./b"]
+
+
+def test_lexing_deep_truncated_calls():
+    f = lexing.facts_of("".join(f"f{i}(a{i}, () => {{ " for i in range(12)) + "log(user.email", "typescript")
+    args = {c["callee"]: c["argument_identifiers"] for c in f.calls}
+    assert all(f"a{i}" in args[f"f{i}"] for i in range(12)) and args["log"]
+    assert len(f.warnings) == lexing.MAX_FAULTS
+
+
 def test_lexing_modules():
     f = lexing.facts_of("import d, { a as b } from './m';\nimport * as n from 'n';\nexport { x as y } from './z';\nexport default 1;\nexport class C {}\n", "typescript")
     assert [(i["source"], [(s["kind"], s["local"], s["imported"]) for s in i["specifiers"]]) for i in f.imports] == [("./m", [("default", "d", "default"), ("named", "b", "a")]), ("n", [("namespace", "n", "*")])]
