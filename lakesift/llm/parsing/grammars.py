@@ -55,8 +55,10 @@ Lhs : Primary | Lhs ('.' | '?.') (NAME | PRIVATE) | Lhs '?.'? '[' Expr ']' | Lhs
 Args : '(' ((Arg % ',') ','?)? ')' ;
 Arg : '...'? Assign ;
 Template : TEMPLATE | T_HEAD Expr (T_MIDDLE Expr)* T_TAIL ;
-Primary : NAME | NUM | STR | REGEX | JSX | Template | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | '[' Elems ']' | Object
+Primary : NAME | NUM | STR | REGEX | Jsx | Template | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | '[' Elems ']' | Object
   | 'async'? 'function' '*'? NAME? Signature Block | 'class' NAME? @TPARAMS ('extends' Lhs @TARGS)? @IMPLEMENTS ClassBody ;
+Jsx : JSX | J_HEAD JsxHole (J_MIDDLE JsxHole)* J_TAIL ;
+JsxHole : Expr | '...' Assign ;
 Elems : Arg? (',' Arg?)* ;
 Object : '{' ((Prop % ',') ','?)? '}' ;
 Prop : PropName ':' Assign | NAME ('=' Assign)? | '...' Assign | ObjModifier* PropName Signature Block ;
@@ -353,8 +355,10 @@ BinOp : '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' |
 Unary : Postfix | Postfix ('++' | '--' | '..') | ('+' | '-' | '!' | '~' | '++' | '--' | '^' | '&' | '*' | '..') Unary | 'await' Unary | '(' Type ')' Unary ;
 TupleExpr : '(' TupleArg (',' TupleArg)+ ')' ;
 TupleArg : (NAME ':')? Expr | Type NAME ;
-Postfix : NAME TypeArgs? | Builtin | NUM | STR | CHAR | 'true' | 'false' | 'null' | 'this' | 'base' | '(' Expr ')' | TupleExpr | New | Postfix ('.' | '->') NAME TypeArgs? | NAME '::' NAME | Postfix Args | Postfix '[' (Arg % ',') ']'
+Postfix : NAME TypeArgs? | Builtin | NUM | STR | Interpolated | CHAR | 'true' | 'false' | 'null' | 'this' | 'base' | '(' Expr ')' | TupleExpr | New | Postfix ('.' | '->') NAME TypeArgs? | NAME '::' NAME | Postfix Args | Postfix '[' (Arg % ',') ']'
   | Postfix '?' Chain | Postfix '!' | 'typeof' '(' (Type | 'void') ')' | 'default' ('(' Type ')')? | 'sizeof' '(' Type ')' | ('checked' | 'unchecked') '(' Expr ')' | 'stackalloc' Type? '[' Expr? ']' ArrayInit? | '[' ((Element % ',') ','?)? ']' ;
+Interpolated : I_HEAD Hole (I_MIDDLE Hole)* I_TAIL ;
+Hole : Expr (',' Expr)? ;
 Element : Expr | '..' Expr ;
 Chain : '.' NAME TypeArgs? | '[' (Arg % ',') ']' ;
 New : 'new' Type Args ObjectInit? | 'new' Type ObjectInit | 'new' Args ObjectInit? | 'new' NewArray | 'new' '{' ((Anon % ',') ','?)? '}' ;

@@ -122,7 +122,7 @@ class Lexer:
         """Tokens from ``at`` on; nested runs end at the brace that closes a template's part. Returns where it ended."""
         match, kinds, fixed, names = self.match, self.kinds, self.fixed, self.names
         size, fresh, depth = len(text), False, 0
-        go = self.name == "go"
+        go, sharp = self.name == "go", self.name == "csharp"
         self.last = "start"
         previous = ""
         while at < size:
@@ -172,18 +172,22 @@ class Lexer:
                     stop = self._regex(text, at)
                     out.append(((self.term["REGEX"],), at, fresh))
                     self.last = "value"
-                elif self.script and o == "<" and self.last != "value" and (stop < size and (text[stop].isalpha() or text[stop] == ">")) and (after := self._markup(text, at)):
+                elif self.script and o == "<" and self.last != "value" and (stop < size and (text[stop].isalpha() or text[stop] == ">")) and (after := self._markup(text, at, out, fresh)):
                     stop = after
-                    out.append(((self.term["JSX"],), at, fresh))
                     self.last = "value"
                 else:
                     if nested:
-                        if o == "{":
+                        if o == "{" or sharp and o in ("(", "["):
                             depth += 1
-                        elif o == "}":
-                            if not depth:
-                                return at
+                        elif o == "}" and not depth:
+                            return at
+                        elif o == "}" or sharp and o in (")", "]"):
                             depth -= 1
+                        elif sharp and o == ":" and not depth:  # the rest of the part is a format
+                            stop = text.find("}", at)
+                            if stop < 0:
+                                raise LexError(at, "a string does not end")
+                            return stop
                     if self.script and fresh and o in ("++", "--") and self.last == "value":
                         out.append((self.semicolon, at, True))  # these never follow what they change across a line break
                     k = kinds.get(o)
@@ -197,8 +201,7 @@ class Lexer:
                 self.last = "value"
                 previous = "`"
             elif kind in ("interp", "raw"):
-                stop = self._sharp_string(text, at, m.group())
-                out.append((fixed["str"], at, fresh))
+                stop = self._sharp_string(text, at, m.group(), out, fresh)
                 self.last = "value"
                 previous = '"'
             else:
@@ -236,8 +239,26 @@ class Lexer:
 
     _TAG = re.compile(r"<\s*([A-Za-z][\w.:-]*)?")
 
-    def _markup(self, text: str, at: int) -> int:
-        """The place after a markup element that begins here, or 0 if none does."""
+    def _markup(self, text: str, at: int, out: list[Token], fresh: bool) -> int:
+        """The place after a markup element that begins here, its tokens being added, or 0 if none does."""
+        holes: list[tuple[list[Token], int]] = []
+        wrong: list[int] = []
+        stop = self._element(text, at, holes, wrong)
+        if stop:
+            if wrong:
+                raise LexError(wrong[0], "no value for an attribute here")
+            self._parted("J_HEAD", "J_MIDDLE", "J_TAIL", "JSX", at, fresh, [h for h in holes if h[0]], out)
+        return stop
+
+    def _parted(self, head: str, middle: str, tail: str, whole: str, at: int, fresh: bool, holes: list[tuple[list[Token], int]], out: list[Token]) -> None:
+        """Terminals of a text with parts of code in it, each part given by its tokens and its end."""
+        term = self.term
+        out.append(((term[head if holes else whole],), at, fresh))
+        for n, (tokens, end) in enumerate(holes, 1):
+            out += tokens
+            out.append(((term[middle if n < len(holes) else tail],), end, False))
+
+    def _element(self, text: str, at: int, holes: list[tuple[list[Token], int]], wrong: list[int]) -> int:
         i, size, open_tags = at, len(text), []
         while i < size:
             if text.startswith("</", i):
@@ -254,7 +275,14 @@ class Lexer:
                 while i < size and text[i] != ">" and not text.startswith("/>", i):
                     c = text[i]
                     if c == "{":
-                        i = self._braced(text, i)
+                        start = before = i
+                        while text[before - 1].isspace():
+                            before -= 1
+                        value = text[before - 1] == "="
+                        i = self._braced(text, i, holes)
+                        tokens = holes[-1][0]
+                        if not tokens or (tokens[0][0] == self.kinds["..."]) == value:  # a value is an expression, a part without a name is spread
+                            wrong.append(start)
                     elif c in "\"'":
                         i = text.find(c, i + 1) + 1
                         if not i:
@@ -273,22 +301,26 @@ class Lexer:
                     i += 1
                     open_tags.append(name)
             elif text[i] == "{" and open_tags:
-                i = self._braced(text, i)
+                i = self._braced(text, i, holes)
             elif open_tags:
                 i += 1
             else:
                 return 0
         return 0
 
-    def _braced(self, text: str, at: int) -> int:
-        saved = self.last
+    def _braced(self, text: str, at: int, holes: list[tuple[list[Token], int]]) -> int:
+        """The place after a part in braces; its tokens and end are added to ``holes``."""
+        saved, tokens = self.last, []
         try:
-            return self._run(text, at + 1, [], nested=True) + 1
+            end = self._run(text, at + 1, tokens, nested=True)
         finally:
             self.last = saved
+        holes.append((tokens, end))
+        return end + 1
 
-    def _sharp_string(self, text: str, at: int, opening: str) -> int:
-        """The place after an interpolated or raw string."""
+    def _sharp_string(self, text: str, at: int, opening: str, out: list[Token], fresh: bool) -> int:
+        """The place after an interpolated or raw string, its tokens being added."""
+        holes: list[tuple[list[Token], int]] = []
         if opening.startswith('"'):
             stop = text.find(opening, at + len(opening))
             if stop < 0:
@@ -296,14 +328,42 @@ class Lexer:
             stop += len(opening)
             while stop < len(text) and text[stop] == '"':
                 stop += 1
+            out.append((self.fixed["str"], at, fresh))
             return stop
+        after = at + len(opening)
+        stop = self._raw_parts(text, at, opening, holes) if text.startswith('""', after) and "@" not in opening else self._string_parts(text, at, opening, holes)
+        for tokens, end in holes:
+            if not tokens:
+                raise LexError(end, "a part of a string is empty")
+        self._parted("I_HEAD", "I_MIDDLE", "I_TAIL", "STR", at, fresh, holes, out)
+        return stop
+
+    _RUN = re.compile(r'"+|\{+|\}+|[^"{}]+')
+
+    def _raw_parts(self, text: str, at: int, opening: str, holes: list[tuple[list[Token], int]]) -> int:
+        """The place after an interpolated raw string: as many braces as dollar signs open and close a part."""
+        i = at + len(opening) - 1
+        n, quotes = opening.count("$"), len(self._RUN.match(text, i)[0])
+        i += quotes
+        while i < len(text):
+            run = self._RUN.match(text, i)[0]
+            if run[0] == '"' and len(run) >= quotes:
+                return i + len(run)
+            if run[0] == "{" and len(run) >= n:
+                if len(run) >= 2 * n:
+                    raise LexError(i, "too many braces")
+                i = self._braced(text, i + len(run) - 1, holes)
+                if not text.startswith("}" * (n - 1), i):
+                    raise LexError(i, "a part of a string does not end")
+                i += n - 1
+            else:
+                i += len(run)
+        raise LexError(at, "a raw string does not end")
+
+    def _string_parts(self, text: str, at: int, opening: str, holes: list[tuple[list[Token], int]]) -> int:
+        """The place after an interpolated string."""
         verbatim = "@" in opening
         i, size = at + len(opening), len(text)
-        if text.startswith('""', i):  # interpolated raw string
-            stop = text.find('"""', i + 2)
-            if stop < 0:
-                raise LexError(at, "a raw string does not end")
-            return stop + 3
         while i < size:
             c = text[i]
             if c == '"':
@@ -318,7 +378,7 @@ class Lexer:
             elif text.startswith("{{", i) or text.startswith("}}", i):
                 i += 2
             elif c == "{":
-                i = self._braced(text, i)
+                i = self._braced(text, i, holes)
             else:
                 i += 1
         raise LexError(at, "a string does not end")

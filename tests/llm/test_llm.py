@@ -75,6 +75,22 @@ def test_invalid_sources(language, source):
     assert first_fault(source, language) is not None
 
 
+EMBEDDED = [
+    ("tsx", "const e = <p>{a +}</p>;", False), ("tsx", "const e = <p>{a + b}</p>;", True), ("jsx", "f(<a b={c d}/>)", False), ("jsx", "f(<a b={c} {...d}>{/* none */}{}{...e}</a>)", True),
+    ("jsx", "f(<a b={}/>)", False), ("jsx", "f(<a b={...c}/>)", False), ("jsx", "f(<a {b}/>)", False), ("tsx", "const f = <a on={() => {\n<<<<<<< HEAD\n  x()\n=======\n  y()\n>>>>>>> b\n}}/>;", False),
+    ("tsx", "const e = <ul>{xs.map(x => <li key={x.id} on={() => { go(x); return }}>{x.a ? <b>{x.a}</b> : `t ${x.b}`}</li>)}</ul>;", True), ("tsx", "const e = <ul>{xs.map(x => <li key={x.id}>{x.}</li>)}</ul>;", False),
+    ("ts", "const f = <T extends {}>(x: T) => { return x };", True), ("ts", "let z = <any>y; function g() { return {} }", True),
+    ("cs", 'var s = $"{a b}";', False), ("cs", 'var s = $"{a} {b.C(1, "x"),-5:0.00%} {(d ? 1 : 2):#,##0} {{no}} {e:yyyy-MM-dd HH:mm}";', True), ("cs", 'var s = $"{}";', False), ("cs", 'var s = $"{a +}" + b;', False),
+    ("cs", 'var s = $@"a {b["x"]} ""q"" {Foo<A, B>(c)}\n {global::D.E}";', True), ("cs", 'var s = $"""a "b" {c.D()} """;', True), ("cs", 'var s = $"""a {c d} """;', False),
+    ("cs", 'var s = $$"""{"k": {{v.W}}, "l": {x}}""";', True), ("cs", 'var s = $$"""{{v w}}""";', False), ("cs", 'var s = $"" + $"{a switch { 1 => "x", _ => $"{b}" }}";', True), ("cs", 'var s = $@"""{a}""";', True),
+]
+
+
+@pytest.mark.parametrize(("extension", "source", "valid"), EMBEDDED)
+def test_embedded_code_is_parsed(extension, source, valid):
+    assert (first_fault(source, language_of(f"a.{extension}")) is None) == valid
+
+
 @pytest.mark.parametrize("language", sorted(VALID))
 def test_long_and_deep_sources(language):
     pad = {"go": "package a\n"}.get(language, "")
