@@ -34,12 +34,11 @@ def trimmed(c: Column) -> Column:
 
 
 @dataclass
-class SeenState:
-    """A versioned folder: ``dict`` (id, shard, code; each version adds rows) and ``bits`` (shard, bucket, bitmap; whole)."""
+class Versions:
+    """A folder of versions, the highest of which that was committed is current."""
 
     spark: SparkSession
     path: str
-    shards: int = 1024
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -55,6 +54,20 @@ class SeenState:
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
         return max([0, *(int(n[8:]) for n in names if n.startswith("CURRENT-"))])
 
+    def publish(self, n: int) -> None:
+        """Make version ``n``, written whole, the current one by one rename."""
+        fs, path = self._fs()
+        fs.create(path(f"{self.path}/_pending-{n}"), True).close()
+        if not fs.rename(path(f"{self.path}/_pending-{n}"), path(f"{self.path}/CURRENT-{n}")):
+            raise RuntimeError(f"version {n} of {self.path} was committed by another job")
+
+
+@dataclass
+class SeenState(Versions):
+    """A versioned folder: ``dict`` (id, shard, code; each version adds rows) and ``bits`` (shard, bucket, bitmap; whole)."""
+
+    shards: int = 1024
+
     def read(self, what: str) -> DataFrame:
         v = self.version()
         if what == "dict":
@@ -71,10 +84,7 @@ class SeenState:
         n = self.version() + 1
         new_codes.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/dict/v{n}")
         bits.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/bits/v{n}")
-        fs, path = self._fs()
-        fs.create(path(f"{self.path}/_pending-{n}"), True).close()
-        if not fs.rename(path(f"{self.path}/_pending-{n}"), path(f"{self.path}/CURRENT-{n}")):
-            raise RuntimeError(f"version {n} of {self.path} was committed by another job")
+        self.publish(n)
 
 
 def _encode(firsts: DataFrame, known: DataFrame, shards: int) -> DataFrame:

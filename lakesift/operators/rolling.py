@@ -4,7 +4,8 @@ State is one row per entity and day: the day's amounts and, for each period of p
 ``total(d) = total(d - 1) + arrivals(d) - amounts(d - p)``. A batch of arrivals (today's, late ones or corrections with
 negative amounts) turns into one signed event at its day and one at its day plus p; the running sum of those events is what
 the recurrence adds to the stored totals: stored raw rows are never read again, dates before the first affected day keep their
-totals, and the result is the next version. The first load is the same step on an empty state.
+totals, and the result is the next version. The first load is the same step on an empty state. ``ScanTotals`` stores the versions
+with the ids they counted, so a scan delivered again in a later batch adds nothing.
 
 Amounts are summed per entity and day before the running sum (combined before the shuffle), so a task's group is one entity's
 calendar: days, not rows, however busy the entity.
@@ -16,10 +17,13 @@ every day from the first to the last day with a row is present. Extra columns ar
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesift.operators.delivery import Versions
+
 
 def once(rows: DataFrame, id_col: str, first_by: Column) -> DataFrame:
     """One row of each id, the one with the smallest ``first_by``; rows without an id all stay."""
@@ -128,10 +132,51 @@ def averages(state: DataFrame, amounts: Sequence[str], periods: Sequence[int]) -
     )
 
 
-def scan_state(scans: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Rolling 7- and 30-day totals of findings and critical findings per team; each scan id counts once, as first received."""
+def first_received(scans: DataFrame) -> DataFrame:
+    """The columns of scans that count, each scan id once, as first received."""
     slim = scans.select("id", "team_id", "created_at", "received_at", "findings_count", "critical_count")
-    single = once(slim, "id", F.struct(F.col("received_at").isNull(), F.col("received_at"), F.col("created_at")))
+    return once(slim, "id", F.struct(F.col("received_at").isNull(), F.col("received_at"), F.col("created_at")))
+
+
+def _advance_scans(single: DataFrame, state: DataFrame | None) -> DataFrame:
     named: Mapping[str, str] = {"findings_count": "findings", "critical_count": "critical"}
     daily = daily_amounts(single.withColumnsRenamed(dict(named)), "team_id", "created_at", list(named.values()))
     return advance(state, daily, ["findings", "critical"], [7, 30])
+
+
+def scan_state(scans: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Rolling 7- and 30-day totals of findings and critical findings per team; each scan id counts once in a batch, as first received."""
+    return _advance_scans(first_received(scans), state)
+
+
+@dataclass
+class ScanTotals(Versions):
+    """Stored versions of ``scan_state``: ``totals`` (each version whole) and ``ids`` (each version adds those it counted)."""
+
+    def totals(self) -> DataFrame | None:
+        """The current totals, None before the first version."""
+        v = self.version()
+        return self.spark.read.parquet(f"{self.path}/totals/v{v}") if v else None
+
+    def load(self, scans: DataFrame) -> None:
+        """Take a batch in: the next version is the stored totals with the scans whose id no version before has counted."""
+        v = self.version()
+        single = first_received(scans).withColumn("id", F.col("id").cast("string"))
+        if v:
+            known = self.spark.read.schema("id string").parquet(*[f"{self.path}/ids/v{i}" for i in range(1, v + 1)])
+            single = single.join(known, "id", "left_anti")  # a null id equals none and stays
+        options = {"mode": "overwrite", "compression": "zstd"}
+        _advance_scans(single, self.totals()).write.parquet(f"{self.path}/totals/v{v + 1}", **options)
+        single.where("id is not null").select("id").write.parquet(f"{self.path}/ids/v{v + 1}", **options)
+        self.publish(v + 1)
+
+
+def load_by_last_day(scans: DataFrame, state: ScanTotals) -> DataFrame:
+    """The totals of ``scans`` through stored versions: first what was received before the last day, then that day's arrivals and rows without a time."""
+    last = scans.agg(F.max(F.to_date("received_at")).alias("d")).first().d  # one row
+    if last is not None:
+        before = F.coalesce(F.to_date("received_at") < F.lit(last), F.lit(False))
+        state.load(scans.where(before))
+        scans = scans.where(~before)
+    state.load(scans)
+    return state.totals()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesift.operators.delivery import SeenState, dropped_deliveries
 from lakesift.operators.finding_tables import child_records
-from lakesift.operators.rolling import averages, scan_state
+from lakesift.operators.rolling import ScanTotals, averages, load_by_last_day
 from lakesift.operators.snapshots import finding_changes
 from lakesift.runtime import fresh_path, table
 
@@ -38,16 +38,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return saved.unionByName(child_records(table(spark, sf, "scan_findings"), "scan_findings"))
 
 
+def _scan_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return load_by_last_day(table(spark, sf, "scans"), ScanTotals(spark, fresh_path(spark, "scan-totals")))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Trailing 7- and 30-day totals per team and day."""
-    return scan_state(table(spark, sf, "scans")).select(
+    return _scan_totals(spark, sf).select(
         F.col("entity").alias("team_id"), F.date_format("day", "yyyy-MM-dd").alias("scan_day"), *COUNTS
     )
 
 
 def p6_averages(spark: SparkSession, sf: str) -> DataFrame:
     """Trailing 7- and 30-day daily averages per team and day."""
-    state = averages(scan_state(table(spark, sf, "scans")), ["findings", "critical"], [7, 30])
+    state = averages(_scan_totals(spark, sf), ["findings", "critical"], [7, 30])
     return state.select(
         F.col("entity").alias("team_id"),
         F.date_format("day", "yyyy-MM-dd").alias("scan_day"),

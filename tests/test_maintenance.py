@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lakesift.operators.delivery import SeenState, dedup_deliveries, dropped_deliveries
 from lakesift.operators.finding_tables import child_records, nested_findings
 from lakesift.operators.inlining import analyse, tables
-from lakesift.operators.rolling import advance, averages, scan_state
+from lakesift.operators.rolling import ScanTotals, advance, averages, load_by_last_day, scan_state
 from lakesift.operators.snapshots import finding_changes, snapshot_changes
+from lakesift.plans import maintenance as registry
 from lakesift.runtime import fresh_path
 
 SNAP = "project_name string, snapshot_no int, loaded_at timestamp, file string, pii_type string, code_snippet_norm string, sink_kind string, severity string, line int, extra string"
@@ -232,6 +233,29 @@ def test_rolling_versions_equal_one_load(spark, rows, cut):
     assert totals(both) == brute(full)
 
 
+def test_rolling_redelivered_scans_count_once_across_batches(spark):
+    day, later = dt.datetime(2025, 1, 5, 8), dt.datetime(2025, 1, 9, 8)
+    schema = "id string, team_id string, created_at timestamp_ntz, received_at timestamp_ntz, findings_count int, critical_count int"
+    early = [("1", "a", day, day, 5, 1), ("2", "b", day, day, 3, 0)]
+    late = [("1", "a", day, later, 5, 1), ("3", "a", dt.datetime(2025, 1, 3, 8), later, 2, 2), ("2", "b", day, None, 3, 0), (None, "b", later, later, 1, 1)]
+    whole = totals(scan_state(spark.createDataFrame(early + late, schema)))
+    state = ScanTotals(spark, fresh_path(spark, "test-totals"))
+    for batch in (early, late, early):
+        state.load(spark.createDataFrame(batch, schema))
+    assert state.version() == 3 and totals(state.totals()) == whole
+    split = ScanTotals(spark, fresh_path(spark, "test-totals"))
+    assert totals(load_by_last_day(spark.createDataFrame(early + late, schema), split)) == whole and split.version() == 2
+    assert load_by_last_day(spark.createDataFrame([], schema), ScanTotals(spark, fresh_path(spark, "test-totals"))).count() == 0
+
+
+def test_registered_totals_go_through_versions(spark, sf, monkeypatch):
+    seen = []
+    load = ScanTotals.load
+    monkeypatch.setattr(ScanTotals, "load", lambda self, rows: (seen.append(self), load(self, rows))[1])
+    registry.QUERIES["p6_found"](spark, sf)
+    assert len(seen) == 2 and seen[0].version() == 2
+
+
 def test_rolling_corrections_and_averages(spark):
     day = "entity string, day date, n bigint"
     first = advance(None, spark.createDataFrame([("a", dt.date(2025, 1, 1), 7), ("a", dt.date(2025, 1, 9), 7)], day), ["n"], [7])
