@@ -160,12 +160,21 @@ def sarif_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reports.sarif_results(table(spark, sf, "findings")).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
 
 
+#: Marks the key of a file that has no repository: the file itself stands for one.
+ALONE = "\0"
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table_files(table(spark, sf, "parsed_files")).withColumn("repository", F.coalesce("repository", F.lit("")))
+    owner = F.coalesce("repository", F.concat(F.lit(ALONE), F.col("file_id").cast("string")))
+    rows = table_files(table(spark, sf, "parsed_files")).withColumn("repository", owner)
     first = F.min_by(F.struct("language", "source"), "file_id").alias("r")
     return rows.groupBy("repository", "path").agg(first).select("repository", "path", "r.*")
 
 
+def _shown_owner(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("repository", F.when(F.col("repository").startswith(ALONE), "").otherwise(F.col("repository")))
+
+
 def facts_by_language(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of parsed files by language."""
     parsed = facts.extract(_files(spark, sf), ["repository"])
@@ -175,12 +184,12 @@ def facts_by_language(spark: SparkSession, sf: str) -> DataFrame:
 def scan_parsed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of a whole scan of the parsed files, all frameworks, across files."""
     found = pipeline.shown(pipeline.scan(_files(spark, sf), ["repository"], Config(frameworks=list(FRAMEWORKS))))
-    return found.select("id", "repository", "path", "severity", "pii_type", "confidence", F.col("location.line").alias("line"), F.col("data_flow.sink.kind").alias("sink"), F.size("framework_mappings").alias("mappings"))
+    return _shown_owner(found).select("id", "repository", "path", "severity", "pii_type", "confidence", F.col("location.line").alias("line"), F.col("data_flow.sink.kind").alias("sink"), F.size("framework_mappings").alias("mappings"))
 
 
 def module_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Imports of parsed files that resolve to files of the same repository."""
-    return graph.edges(graph.resolved_imports(facts.extract(_files(spark, sf), ["repository"]), ["repository"]), ["repository"])
+    return _shown_owner(graph.edges(graph.resolved_imports(facts.extract(_files(spark, sf), ["repository"]), ["repository"]), ["repository"]))
 
 
 QUERIES = {

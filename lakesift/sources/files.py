@@ -59,8 +59,8 @@ def discover(spark: SparkSession, root: str, config: Config | None = None) -> tu
 
 
 def table_files(parsed: DataFrame, config: Config | None = None) -> DataFrame:
-    """Rows of a parsed_files table as files to scan; the language is that of the path's extension."""
-    config = config or Config(languages=sorted(set(LANGUAGES.values())), exclude=[])
+    """Rows of a parsed_files table as files to scan, without a ``config`` all of any size; the language is that of the path's extension."""
+    config = config or Config(languages=sorted(set(LANGUAGES.values())), exclude=[], max_file_size=(1 << 63) - 1)
     path = F.regexp_replace(F.translate("path", "\\", "/"), r"^(?:\./)+", "")
     rows = parsed.select("file_id", "repository", path.alias("path"), language_of(path).alias("language"), "source")
     kept = rows.where(F.col("source").isNotNull() & F.col("language").isin(config.languages) & (F.octet_length("source") <= config.max_file_size))

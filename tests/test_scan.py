@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakesift import pipeline
 from lakesift.config import Config, CustomSink, CustomType, PathRule, config_of, parse_frameworks, read_config
 from lakesift.functions import lexing, names
+from lakesift.plans import scan_queries
 from lakesift.functions.globs import glob_regex
 from lakesift.operators import baseline, dashboard, facts, flow, frameworks, graph, reports, suggest
 from lakesift.rules.dictionary import CONFIDENCE_RANK, DICTIONARY
@@ -183,6 +184,16 @@ def test_lexing_never_fails(language, source):
     assert len(f.warnings) <= lexing.MAX_FAULTS
 
 
+def test_registered_scan_covers_every_file(spark, monkeypatch):
+    big = "const email = user.email;\n" + "// padding\n" * 110_000
+    rows = [(1, "r", "a.ts", big), (2, None, "b.ts", "const a = 1\n"), (3, None, "b.ts", "const b = 2\n"), (4, "r", "c.ts", "import { x } from './a'\n"), (5, "r", "c.ts", "let z\n")]
+    stored = spark.createDataFrame(rows, "file_id bigint, repository string, path string, source string")
+    monkeypatch.setattr(scan_queries, "table", lambda *_: stored)
+    assert [(r.language, r.files) for r in scan_queries.facts_by_language(spark, "").collect()] == [("typescript", 4)]
+    assert [(r.repository, r.importer, r.imported) for r in scan_queries.module_edges(spark, "").collect()] == [("r", "c.ts", "a.ts")]
+    assert "a.ts" in {r.path for r in scan_queries.scan_parsed_files(spark, "").collect()}
+
+
 def test_lexing_long_imports():
     names = [f"name{i}" for i in range(120)]
     f = lexing.facts_of("import {\n" + ",\n".join(names) + ",\n} from './x';\nimport e, {\n f as g }\n from\n './y'\nimport './z'\n", "typescript")
