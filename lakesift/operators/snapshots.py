@@ -18,6 +18,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesift.runtime import materialise
+
+#: Rows (group, number and its neighbours) up to which the list of snapshots is broadcast; about 20 MB.
+LISTED = 200_000
+#: Parts of a group's snapshot where the list is too long for that.
+SALTS = 64
+
 
 def one_blank(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
@@ -40,17 +47,20 @@ def snapshot_changes(
     key: Mapping[str, Column],
     values: Mapping[str, Column],
     loaded_at: str | None = None,
+    listed: int = LISTED,
 ) -> DataFrame:
     """Added, removed and changed keys of each snapshot against the group's next lower number present.
 
     ``key`` and ``values`` map output names to the canonical form of a column. Returns ``group``, ``number`` (bigint, the
     later snapshot), ``change_kind`` and the key columns, with ``old_<value>`` and ``new_<value>`` for each value.
 
-    Two shuffles carry rows (repeats, already combined before the shuffle; the join), both on the key hash. The list of
-    snapshots is one row per group and number; whether it is broadcast is decided at run time by its measured size.
+    Two shuffles carry rows (repeats, already combined before the shuffle; the earlier side of the join), both by a key with the key hash. Which
+    snapshot precedes which is one row per group and number: it is broadcast if it has at most ``listed`` rows (counted), else joined with a
+    salt from the key hash, so no shuffle ever puts the rows of one group or snapshot together.
     """
     number_ = F.col(number).cast("bigint")
-    base = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull()).select(
+    numbered = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
+    base = numbered.select(
         F.col(group).alias("_g"),
         number_.alias("_n"),
         row_hash(list(key.values())).alias("_k"),
@@ -62,13 +72,14 @@ def snapshot_changes(
         F.first("_key").alias("_key"), F.max(F.struct(F.col("_at"), F.col("_val"))).getField("_val").alias("_val")
     )
     w = Window.partitionBy("_g").orderBy("_n")
-    order = (
-        rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
-        .select(F.col(group).alias("_g"), number_.alias("_n"))
-        .distinct()
-        .select("_g", "_n", F.lag("_n").over(w).alias("_before"), F.lead("_n").over(w).alias("_after"))
-    )
-    placed = once.join(order, ["_g", "_n"])
+    numbers = numbered.select(F.col(group).alias("_g"), number_.alias("_n")).distinct()
+    order = materialise(numbers.select("_g", "_n", F.lag("_n").over(w).alias("_before"), F.lead("_n").over(w).alias("_after")), "snapshot-order")
+    if order.count() <= listed:
+        placed = once.join(F.broadcast(order), ["_g", "_n"])
+    else:
+        salt = F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")
+        salted = order.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = once.withColumn("_salt", salt).join(salted, ["_g", "_n", "_salt"]).drop("_salt")
     digest = row_hash([F.col(f"_val.{n}") for n in values]).alias("_h")
     later = placed.where("_before is not null").select("_g", "_n", "_k", F.col("_key").alias("_ck"), F.col("_val").alias("_cv"), digest)
     earlier = placed.where("_after is not null").select(
