@@ -4,8 +4,8 @@ State is one row per entity and day: the day's amounts and, for each period of p
 ``total(d) = total(d - 1) + arrivals(d) - amounts(d - p)``. A batch of arrivals (today's, late ones or corrections with
 negative amounts) turns into one signed event at its day and one at its day plus p; the running sum of those events is what
 the recurrence adds to the stored totals: stored raw rows are never read again, dates before the first affected day keep their
-totals, and the result is the next version. The first load is the same step on an empty state. ``ScanTotals`` stores the versions
-with the ids they counted, so a scan delivered again in a later batch adds nothing.
+totals, and the result is the next version. The first load is the same step on an empty state. ``ScanTotals`` stores the versions,
+of which each writes only what its arrivals can change, with the ids they counted, so a scan delivered again in a later batch adds nothing.
 
 Amounts are summed per entity and day before the running sum (combined before the shuffle), so a task's group is one entity's
 calendar: days, not rows, however busy the entity.
@@ -16,13 +16,15 @@ every day from the first to the last day with a row is present. Extra columns ar
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.operators.delivery import Versions
+from lakesift.operators.versions import COMPACT_AFTER, Versions
+from lakesift.runtime import file_system
 
 
 def once(rows: DataFrame, id_col: str, first_by: Column) -> DataFrame:
@@ -138,37 +140,85 @@ def first_received(scans: DataFrame) -> DataFrame:
     return once(slim, "id", F.struct(F.col("received_at").isNull(), F.col("received_at"), F.col("created_at")))
 
 
-def _advance_scans(single: DataFrame, state: DataFrame | None) -> DataFrame:
-    named: Mapping[str, str] = {"findings_count": "findings", "critical_count": "critical"}
-    daily = daily_amounts(single.withColumnsRenamed(dict(named)), "team_id", "created_at", list(named.values()))
-    return advance(state, daily, ["findings", "critical"], [7, 30])
+AMOUNTS, PERIODS = ["findings", "critical"], [7, 30]
+
+
+def _daily_scans(single: DataFrame) -> DataFrame:
+    return daily_amounts(single.withColumnsRenamed({"findings_count": "findings", "critical_count": "critical"}), "team_id", "created_at", AMOUNTS)
 
 
 def scan_state(scans: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Rolling 7- and 30-day totals of findings and critical findings per team; each scan id counts once in a batch, as first received."""
-    return _advance_scans(first_received(scans), state)
+    return advance(state, _daily_scans(first_received(scans)), AMOUNTS, PERIODS)
+
+
+BLOCK_DAYS = 32
+_TOTALS = "entity string, day date, findings bigint, critical bigint, findings_7d bigint, findings_30d bigint, critical_7d bigint, critical_30d bigint"
 
 
 @dataclass
 class ScanTotals(Versions):
-    """Stored versions of ``scan_state``: ``totals`` (each version whole) and ``ids`` (each version adds those it counted)."""
+    """Stored versions of ``scan_state``.
+
+    ``totals`` are kept in blocks of ``BLOCK_DAYS`` days. A version writes anew only the blocks from the first day whose totals its arrivals can change
+    and takes the earlier ones over from the version before, unread but for the last ``max(PERIODS) - 1`` days before that. ``spans`` (first and last day of each
+    entity, whole) tells where an entity's calendar goes on after a quiet spell; ``ids`` (each version adds those it counted) keeps a scan
+    delivered again from counting again.
+    """
 
     def totals(self) -> DataFrame | None:
         """The current totals, None before the first version."""
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/totals/v{v}") if v else None
+        m = self.manifest()
+        return self._blocks(m["blocks"]) if m else None
+
+    def _blocks(self, blocks: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{folder}/totals/block={b}" for b, folder in sorted(blocks.items())]
+        return self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.read([], "totals", _TOTALS)
+
+    def _spans(self, m: dict) -> DataFrame:
+        return self.read([m["folder"]] if m else [], "spans", "entity string, first date, last date")
 
-    def load(self, scans: DataFrame) -> None:
-        """Take a batch in: the next version is the stored totals with the scans whose id no version before has counted."""
-        v = self.version()
+    def load(self, scans: DataFrame, batch: str | None = None) -> None:
+        """Take a batch in: the next version is the stored totals with the scans whose id no version before has counted. A batch loaded before is not loaded again."""
+        if self.committed(batch):
+            return
+        n, m, folder = self.version(), self.manifest(), self.new_folder()
         single = first_received(scans).withColumn("id", F.col("id").cast("string"))
-        if v:
-            known = self.spark.read.schema("id string").parquet(*[f"{self.path}/ids/v{i}" for i in range(1, v + 1)])
+        seen = m.get("ids", [])
+        known = self.read(seen, "ids", "id string")
+        if seen:
             single = single.join(known, "id", "left_anti")  # a null id equals none and stays
-        options = {"mode": "overwrite", "compression": "zstd"}
-        _advance_scans(single, self.totals()).write.parquet(f"{self.path}/totals/v{v + 1}", **options)
-        single.where("id is not null").select("id").write.parquet(f"{self.path}/ids/v{v + 1}", **options)
-        self.publish(v + 1)
+        self.write(single, folder, "arrivals")
+        single = self.spark.read.schema(single.schema).parquet(f"{self.path}/{folder}/arrivals")
+        daily = _daily_scans(single)
+        spans = self._spans(m)
+        reached = daily.groupBy("entity").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+        # An entity's totals change from its first new day on, and new days follow its last stored one.
+        begins = F.least(F.col("low"), F.when(F.col("high") > F.col("last"), F.date_add("last", 1)))
+        start = reached.join(spans, "entity", "left").agg(F.min(begins).alias("d")).first().d  # one row
+        blocks = dict(m.get("blocks", {}))
+        if start is not None:
+            day_no = (start - dt.date(1970, 1, 1)).days
+            first, look = day_no // BLOCK_DAYS, (day_no - max(PERIODS) + 1) // BLOCK_DAYS
+            state = self._blocks({b: f for b, f in blocks.items() if int(b) >= look}) if m else None
+            block = F.floor(F.unix_date("day") / F.lit(BLOCK_DAYS)).cast("int")
+            after = advance(state, daily, AMOUNTS, PERIODS).withColumn("block", block).where(F.col("block") >= first)
+            self.write(after.repartition("block", "entity"), folder, "totals", partition_by="block")
+            blocks = {b: f for b, f in blocks.items() if int(b) < first} | {b: folder for b in self._written(folder)}
+        grown = spans.select("entity", "first", "last").unionByName(reached.select("entity", F.col("low").alias("first"), F.col("high").alias("last")))
+        self.write(grown.groupBy("entity").agg(F.min("first").alias("first"), F.max("last").alias("last")), folder, "spans")
+        ids = single.where("id is not null").select("id")
+        if len(seen) >= COMPACT_AFTER:
+            ids, seen = ids.unionByName(known), []
+        self.write(ids, folder, "ids")
+        self.publish(n + 1, {"folder": folder, "batch": batch if batch is not None else folder, "blocks": blocks, "ids": [*seen, folder]})
+        self.drop(folder, "arrivals")
+
+    def _written(self, folder: str) -> list[str]:
+        """Blocks a version has written."""
+        fs, p = file_system(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p(f"{self.path}/{folder}/totals"))]
+        return [x[6:] for x in names if x.startswith("block=")]
 
 
 def load_by_last_day(scans: DataFrame, state: ScanTotals) -> DataFrame:
@@ -176,7 +226,7 @@ def load_by_last_day(scans: DataFrame, state: ScanTotals) -> DataFrame:
     last = scans.agg(F.max(F.to_date("received_at")).alias("d")).first().d  # one row
     if last is not None:
         before = F.coalesce(F.to_date("received_at") < F.lit(last), F.lit(False))
-        state.load(scans.where(before))
+        state.load(scans.where(before), "before the last day")
         scans = scans.where(~before)
-    state.load(scans)
+    state.load(scans, "last day")
     return state.totals()

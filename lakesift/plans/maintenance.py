@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.operators.delivery import SeenState, dropped_deliveries
+from lakesift.operators.delivery import SeenState, dropped_in_batches
 from lakesift.operators.finding_tables import child_records
 from lakesift.operators.rolling import ScanTotals, averages, load_by_last_day
 from lakesift.operators.snapshots import finding_changes
@@ -27,9 +27,9 @@ def p1_change_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries to be dropped."""
+    """Deliveries to be dropped; two batches in the order of arrival, so that the second meets stored bits."""
     state = SeenState(spark, fresh_path(spark, "deliveries-seen"))
-    return dropped_deliveries(table(spark, sf, "stripe_messages"), "id", "delivery_no", state)
+    return dropped_in_batches(table(spark, sf, "stripe_messages"), "id", "delivery_no", state)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +54,42 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """The file system of a path and its path class."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+_WORKSPACES: list[str] = []
+
+
+def _scratch(spark: SparkSession) -> str:
+    """Where intermediate tables go: the innermost open workspace, else a folder of the application, removed when its JVM ends."""
+    if _WORKSPACES:
+        return _WORKSPACES[-1]
+    root = f"{shared_dir(spark)}/lakesift-{spark.sparkContext.applicationId}"
+    fs, path = file_system(spark, root)
+    fs.mkdirs(path(root))
+    fs.deleteOnExit(path(root))
+    return root
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside are removed at the end: write a query's result before leaving."""
+    path = f"{_scratch(spark)}/work-{uuid.uuid4().hex}"
+    _WORKSPACES.append(path)
+    try:
+        yield path
+    finally:
+        _WORKSPACES.remove(path)
+        fs, hadoop_path = file_system(spark, path)
+        fs.delete(hadoop_path(path), True)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it goes with its workspace, or with the application."""
+    return f"{_scratch(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -64,14 +99,23 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes, as Spark estimates them, up to which ``spread`` may shuffle a table.
+SPREAD_LIMIT = 1 << 30
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a plan's result (of a scan: the size of its files)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread(scan: DataFrame, *keys: str, tasks_per_core: int = 3) -> DataFrame:
     """``scan`` in enough partitions for costly work on every row.
 
-    A small file arrives in a few partitions, fewer than there are cores; only then are its rows shuffled by ``keys``. A large
-    table arrives in many partitions and stays as it is. Call it on scans and projections of scans only.
+    A table of at most ``SPREAD_LIMIT`` bytes that arrives in fewer than two partitions a core is shuffled by ``keys``. A larger table stays as
+    ``spark.sql.files.maxPartitionBytes`` cut it, on any number of cores. Call it on scans and projections of scans only.
     """
     ship_package(scan.sparkSession)
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
+    if plan_bytes(scan) > SPREAD_LIMIT or scan.rdd.getNumPartitions() >= 2 * cores:
         return scan
     return scan.repartition(tasks_per_core * cores, *keys)

@@ -10,13 +10,15 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from lakesift.operators import delivery, snapshots
 from lakesift.operators.delivery import SeenState, dedup_deliveries, dropped_deliveries
 from lakesift.operators.finding_tables import child_records, nested_findings
 from lakesift.operators.inlining import analyse, tables
 from lakesift.operators.rolling import ScanTotals, advance, averages, load_by_last_day, scan_state
 from lakesift.operators.snapshots import finding_changes, snapshot_changes
+from lakesift.operators.versions import LostRaceError
 from lakesift.plans import maintenance as registry
-from lakesift.runtime import fresh_path
+from lakesift.runtime import fresh_path, materialise, workspace
 
 SNAP = "project_name string, snapshot_no int, loaded_at timestamp, file string, pii_type string, code_snippet_norm string, sink_kind string, severity string, line int, extra string"
 
@@ -67,6 +69,20 @@ def test_changes_against_brute_force(spark):
             want += [(p, b, "added", f, "") for f in fb - fa] + [(p, b, "removed", f, "") for f in fa - fb]
             want += [(p, b, "changed", f, "") for f in fa & fb if once[p, a, f] != once[p, b, f]]
     assert kinds(finding_changes(snap(spark, rows))) == sorted(want)
+    salted = snapshot_changes(snap(spark, rows), "project_name", "snapshot_no", snapshots.fingerprint_key(), {"severity": F.lower("severity"), "line": F.col("line")}, "loaded_at", listed=0)
+    assert kinds(salted) == sorted(want)
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_changes_shuffle_rows_by_key_hash_only(spark, monkeypatch, listed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = snapshot_changes(snap(spark, [("p", 1, 0, "a", "s", "", "low", 1)]), "project_name", "snapshot_no", snapshots.fingerprint_key(), {"line": F.col("line")}, listed=listed)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and all("_k#" in x or "_salt#" in x for x in exchanges)
 
 
 def test_generic_changes_with_other_names(spark):
@@ -91,7 +107,7 @@ def test_deliveries_one_copy(spark):
     assert sorted(r.delivery_no for r in dropped.collect()) == [5, 8, 9]
     kept2, dropped2 = dedup_deliveries(spark.createDataFrame([(1, "e1", "z", "x"), (1, "new", "z", "x")], MSG), "id", "delivery_no", s)
     assert [r.id for r in kept2.collect()] == ["new"] and [r.id for r in dropped2.collect()] == ["e1"]
-    assert s.version() == 2 and s.read("dict").count() == 4
+    assert s.version() == 2 and s.stored("dict").count() == 4
 
 
 def test_deliveries_ties_nulls_empty(spark):
@@ -111,18 +127,86 @@ def test_deliveries_batches_equal_one_load(spark):
     for a in range(0, 900, 300):
         parts |= {r.delivery_no for r in dropped_deliveries(spark.createDataFrame(rows[a : a + 300], MSG), "id", "delivery_no", s).collect()}
     assert whole == parts
-    codes = s.read("dict")
+    codes = s.stored("dict")
     assert codes.select("shard", "code").distinct().count() == codes.count() == codes.select("id").distinct().count()
-    assert s.read("bits").select(F.sum(F.bitmap_count("bits"))).first()[0] == codes.count()
+    assert s.stored("bits").select(F.sum(F.bitmap_count("bits"))).first()[0] == codes.count()
+
 
+def delivered(spark, *rows):
+    return spark.createDataFrame([(n, i, "t", "q") for n, i in rows], MSG)
 
-def test_deliveries_survive_lost_commit(spark):
+
+@pytest.mark.parametrize("step", ["write", "commit", "publish"])
+def test_deliveries_survive_a_lost_job(spark, monkeypatch, step):
+    s = state(spark)
+    first = delivered(spark, (1, "a"), (2, "a"), (3, "b"))
+    with monkeypatch.context() as m:
+        whole = getattr(SeenState, step)
+
+        def lost(self, *args, **kw):
+            if step == "write":  # what a version consists of is written, but for the last part
+                if args[2] == "dict":
+                    raise RuntimeError("lost")
+                return whole(self, *args, **kw)
+            raise RuntimeError("lost")
+
+        m.setattr(SeenState, step, lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            dedup_deliveries(first, "id", "delivery_no", s, "b1")
+    assert s.version() == 0 and s.stored("dict").count() == 0
+    kept, dropped = dedup_deliveries(first, "id", "delivery_no", s, "b1")
+    assert sorted(r.delivery_no for r in kept.collect()) == [1, 3] and [r.delivery_no for r in dropped.collect()] == [2] and s.version() == 1
+
+
+def test_deliveries_of_a_batch_run_again(spark, monkeypatch):
     s = state(spark)
-    df = spark.createDataFrame([(1, "a", "x", "q")], MSG)
-    s.read("dict").write.parquet(f"{s.path}/dict/v1")  # left by a job that was lost before it committed
-    assert s.version() == 0
-    kept, _ = dedup_deliveries(df, "id", "delivery_no", s)
-    assert kept.count() == 1 and s.version() == 1
+    first, second = delivered(spark, (1, "a"), (2, "a")), delivered(spark, (3, "a"), (4, "c"))
+    with monkeypatch.context() as m:  # the job ends between pointer and marker
+        m.setattr(SeenState, "committed", lambda self, batch: None)
+        dedup_deliveries(first, "id", "delivery_no", s, "b1")
+    for _ in range(2):
+        assert [r.delivery_no for r in dedup_deliveries(first, "id", "delivery_no", s, "b1")[0].collect()] == [1]
+    assert [r.delivery_no for r in dedup_deliveries(second, "id", "delivery_no", s, "b2")[0].collect()] == [4]
+    assert [r.delivery_no for r in dedup_deliveries(first, "id", "delivery_no", s, "b1")[0].collect()] == [1]
+    assert s.version() == 2
+
+
+def test_deliveries_of_two_writers(spark, monkeypatch):
+    one, two = state(spark), None
+    two = SeenState(spark, one.path, one.shards)
+    publish = SeenState.publish
+
+    def late(self, n, manifest):  # the other writer commits first
+        monkeypatch.setattr(SeenState, "publish", publish)
+        dedup_deliveries(delivered(spark, (5, "x")), "id", "delivery_no", two)
+        publish(self, n, manifest)
+
+    monkeypatch.setattr(SeenState, "publish", late)
+    with pytest.raises(LostRaceError):
+        dedup_deliveries(delivered(spark, (1, "a")), "id", "delivery_no", one)
+    assert [r.id for r in one.stored("dict").collect()] == ["x"] and one.version() == 1
+    kept, _ = dedup_deliveries(delivered(spark, (1, "a"), (6, "x")), "id", "delivery_no", one)
+    assert [r.id for r in kept.collect()] == ["a"]
+
+
+def test_deliveries_numbered_in_groups_and_compacted(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "GROUP_ROWS", 5)
+    monkeypatch.setattr(delivery, "COMPACT_AFTER", 2)
+    s = state(spark, 2)
+    for k in range(4):
+        dedup_deliveries(delivered(spark, *[(i, f"id{i}") for i in range(k * 30, k * 30 + 60)]), "id", "delivery_no", s)
+    codes = s.stored("dict")
+    assert codes.count() == 150 == codes.select("id").distinct().count() == codes.select("shard", "code").distinct().count()
+    assert sum(r.n for r in codes.groupBy("shard").agg((F.max("code") + 1).alias("n")).collect()) == 150  # no number is left out
+    assert len(s.manifest()["dicts"]) == 2
+
+
+def test_registered_deliveries_meet_stored_bits(spark, sf, monkeypatch):
+    seen = []
+    commit = SeenState.commit
+    monkeypatch.setattr(SeenState, "commit", lambda self, *a: (seen.append(self.stored("bits").count()), commit(self, *a))[1])
+    registry.QUERIES["p2_found"](spark, sf)
+    assert len(seen) == 2 and seen[0] == 0 and seen[1] > 0
 
 
 JSON = "id string, data_flow string, framework_mappings string, pos int"
@@ -248,10 +332,53 @@ def test_rolling_redelivered_scans_count_once_across_batches(spark):
     assert load_by_last_day(spark.createDataFrame([], schema), ScanTotals(spark, fresh_path(spark, "test-totals"))).count() == 0
 
 
+def test_rolling_versions_write_only_what_changes(spark):
+    schema = "id string, team_id string, created_at timestamp_ntz, received_at timestamp_ntz, findings_count int, critical_count int"
+
+    def rows(*days):
+        return [(f"{t}{d}", t, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), dt.datetime(2025, 1, 1), d % 7 + 1, 1) for t, d in days]
+
+    state, so_far = ScanTotals(spark, fresh_path(spark, "test-totals")), []
+    batches = [[("a", 3), ("a", 200), ("b", 90)], [("a", 201), ("b", 91)], [("b", 400), ("c", 250)], [("a", 150)], [], [("a", 0)]]
+    for n, days in enumerate(batches):
+        new = rows(*days)
+        so_far += new
+        state.load(spark.createDataFrame(new, schema), f"batch {n}")
+        state.load(spark.createDataFrame(new, schema), f"batch {n}")  # run again
+        assert state.version() == n + 1
+        assert totals(state.totals()) == totals(scan_state(spark.createDataFrame(so_far, schema)))
+    one, two = state.manifest(1)["blocks"], state.manifest(2)["blocks"]
+    kept = {b for b in one if one[b] == two[b]}
+    assert kept and max(map(int, kept)) < (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days // 32 + 3 and len(two) > len(kept)
+
+
+def test_rolling_survives_a_lost_job(spark, monkeypatch):
+    schema = "id string, team_id string, created_at timestamp_ntz, received_at timestamp_ntz, findings_count int, critical_count int"
+    day = dt.datetime(2025, 1, 5, 8)
+    batch = spark.createDataFrame([("1", "a", day, day, 5, 1)], schema)
+    state = ScanTotals(spark, fresh_path(spark, "test-totals"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(ScanTotals, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        state.load(batch, "b")
+    assert state.totals() is None
+    state.load(batch, "b")
+    assert [r.findings_7d for r in state.totals().collect()] == [5]
+
+
+def test_workspace_leaves_nothing(spark):
+    import os
+
+    with workspace(spark) as path:
+        assert materialise(spark.range(3), "test").count() == 3
+        local = path.replace("file:", "")
+        assert os.path.isdir(local)
+    assert not os.path.exists(local)
+
+
 def test_registered_totals_go_through_versions(spark, sf, monkeypatch):
     seen = []
     load = ScanTotals.load
-    monkeypatch.setattr(ScanTotals, "load", lambda self, rows: (seen.append(self), load(self, rows))[1])
+    monkeypatch.setattr(ScanTotals, "load", lambda self, *rows: (seen.append(self), load(self, *rows))[1])
     registry.QUERIES["p6_found"](spark, sf)
     assert len(seen) == 2 and seen[0].version() == 2
 
