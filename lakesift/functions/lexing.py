@@ -41,6 +41,13 @@ _TOKEN = re.compile(
 )
 
 
+# What stands before an object that is a value, and before a member of a class.
+BEFORE_OBJECT = {"(", ",", "=", ":", "return", "[", "?", "??", "||", "&&"}
+MEMBER_STARTS = {"{", ";", "}", "private", "public", "protected", "readonly", "static", "declare", "override", "abstract"}
+NO_CALLEES = {"function", "func", "def", "class", "record", "new"}
+_PAD = 4
+
+
 @dataclass
 class Facts:
     identifiers: list[dict] = field(default_factory=list)
@@ -101,9 +108,20 @@ def _arguments(node: ast.Call) -> list[str]:
 
 
 def _preorder(node: ast.AST):
-    yield node
-    for child in ast.iter_child_nodes(node):
-        yield from _preorder(child)
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        inner: list[ast.AST] = []
+        for name in n._fields:
+            if name != "ctx":
+                value = getattr(n, name, None)
+                if value.__class__ is list:
+                    inner += [x for x in value if isinstance(x, ast.AST)]
+                elif isinstance(value, ast.AST):
+                    inner.append(value)
+        inner.reverse()
+        stack += inner
 
 
 def _python(source: str) -> Facts:
@@ -115,40 +133,39 @@ def _python(source: str) -> Facts:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         f.fault(getattr(e, "lineno", None), getattr(e, "msg", None) or str(e), _hint(source))
         return _tokens(source, "python", f)
-    try:
-        nodes = list(_preorder(tree))
-    except RecursionError:
-        f.fault(None, "nested too deeply", None)
-        return f
     lines = source.split("\n")
 
     def column(n: ast.AST) -> int:
-        return len(lines[n.lineno - 1].encode()[: n.col_offset].decode("utf-8", "replace")) + 1 if n.lineno <= len(lines) else n.col_offset + 1
-
-    for n in nodes:
-        if isinstance(n, (ast.Assign, ast.AugAssign, ast.AnnAssign)):
-            for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                for x in t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t]:
+        line = lines[n.lineno - 1] if n.lineno <= len(lines) else ""
+        return n.col_offset + 1 if line.isascii() else len(line.encode()[: n.col_offset].decode("utf-8", "replace")) + 1
+
+    for n in _preorder(tree):
+        t = n.__class__
+        if t is ast.Attribute:
+            if n.attr not in BUILTIN_METHODS:
+                f.name(n.attr, n.end_lineno or n.lineno, (n.end_col_offset or 0) - len(n.attr) + 1, "PropertyAccess")
+        elif t is ast.Constant:
+            if isinstance(n.value, str):
+                f.literal(n.value, n.lineno, column(n))
+        elif t is ast.Call:
+            callee = _dotted(n.func)
+            if callee:
+                f.call(callee, n.lineno, column(n), _arguments(n))
+        elif t in (ast.Assign, ast.AugAssign, ast.AnnAssign):
+            for target in n.targets if t is ast.Assign else [n.target]:
+                for x in target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target]:
                     if isinstance(x, ast.Name):
                         f.name(x.id, x.lineno, column(x), "VariableDecl")
-        elif isinstance(n, ast.arg):
+        elif t is ast.arg:
             f.name(n.arg, n.lineno, column(n), "Parameter")
-        elif isinstance(n, ast.Attribute) and n.attr not in BUILTIN_METHODS:
-            f.name(n.attr, n.end_lineno or n.lineno, (n.end_col_offset or 0) - len(n.attr) + 1, "PropertyAccess")
-        elif isinstance(n, ast.Dict):
+        elif t is ast.Dict:
             for k in n.keys:
                 if isinstance(k, ast.Constant) and isinstance(k.value, str) and k.value.isidentifier():
                     f.name(k.value, k.lineno, column(k), "PropertyDef")
-        if isinstance(n, ast.Constant) and isinstance(n.value, str):
-            f.literal(n.value, n.lineno, column(n))
-        elif isinstance(n, ast.Call):
-            callee = _dotted(n.func)
-            if callee:
-                f.call(callee, n.lineno, column(n), _arguments(n))
-        elif isinstance(n, ast.Import):
+        elif t is ast.Import:
             for a in n.names:
                 f.imported(a.name, n.lineno, [("namespace", a.asname or a.name, "*")])
-        elif isinstance(n, ast.ImportFrom):
+        elif t is ast.ImportFrom:
             module = "." * n.level + (n.module or "")
             specs = [("namespace", "*", "*") if a.name == "*" else ("named", a.asname or a.name, a.name) for a in n.names]
             f.imported(module, n.lineno, specs)
@@ -179,53 +196,57 @@ def _tokens(source: str, language: str, facts: Facts | None = None) -> Facts:
     script = language in ("typescript", "javascript")
     toks: list[tuple[str, str, int, int]] = []
     line, line_start, at = 1, 0, 0
+    count = source.count
     for m in _TOKEN.finditer(source):
-        line += source.count("\n", at, m.start())
-        line_start = source.rfind("\n", 0, m.start()) + 1
-        at = m.start()
-        if m.lastgroup != "comment":
-            toks.append((m.lastgroup or "", m.group(), line, m.start() - line_start + 1))
-    n = len(toks)
-
-    def text(i: int) -> str:
-        return toks[i][1] if 0 <= i < n else ""
-
-    def kind(i: int) -> str:
-        return toks[i][0] if 0 <= i < n else ""
-
+        start = m.start()
+        breaks = count("\n", at, start)
+        if breaks:
+            line += breaks
+            line_start = source.rfind("\n", at, start) + 1
+        at = start
+        k = m.lastgroup
+        if k != "comment":
+            toks.append((k, m.group(), line, start - line_start + 1))
+    kinds = [x[0] for x in toks] + [""] * _PAD  # what lies before the first or behind the last token reads as ''
+    texts = [x[1] for x in toks] + [""] * _PAD
     keywords = GO_KEYWORDS if language == "go" else KEYWORDS
     match = _pairs(toks, f)
-    roles = _roles(toks, match, language)
+    roles = _roles(toks, texts, match, language)
+    java = language == "java"
     for i, (k, t, ln, col) in enumerate(toks):
         if k == "word":
-            if t in keywords and text(i - 1) not in (".", "?."):
+            before = texts[i - 1]
+            member = before == "." or before == "?."
+            if not member and t in keywords:
                 continue
             role = roles.get(i)
-            called = text(i + 1) == "("
-            if role is None and text(i - 1) in (".", "?."):
-                if language in ("java", "csharp") and called and re.match(r"get[A-Z]", t):
-                    f.name(t[3].lower() + t[4:], ln, col, "PropertyAccess")
-                else:
-                    f.name(t, ln, col, "PropertyAccess")
-            elif role and role != "Method":
+            called = texts[i + 1] == "("
+            if role is None:
+                if member:
+                    if not (java and called):
+                        f.name(t, ln, col, "PropertyAccess")
+                    elif t.startswith("get") and len(t) > 3:
+                        f.name(t[3].lower() + t[4:], ln, col, "PropertyAccess")
+            elif role != "Method":
                 f.name(t, ln, col, role)
-            if called and text(i - 1) not in ("function", "func", "def", "class", "record", "new") and roles.get(i) != "Method":
+            if called and role != "Method" and before not in NO_CALLEES:
                 callee, j = t, i
-                while text(j - 1) in (".", "?.") and kind(j - 2) == "word":
-                    callee = f"{text(j - 2)}.{callee}"
+                while texts[j - 1] in (".", "?.") and kinds[j - 2] == "word":
+                    callee = f"{texts[j - 2]}.{callee}"
                     j -= 2
                 args: list[str] = []
                 end = match.get(i + 1, i + 1)
-                x = i + 2
-                while x < end:
-                    if kind(x) == "word" and text(x) not in keywords and text(x - 1) not in (".", "?."):
-                        chain = [text(x)]
+                for x in range(i + 2, end):
+                    if kinds[x] == "word" and texts[x] not in keywords and texts[x - 1] not in (".", "?."):
+                        if texts[x + 1] not in (".", "?."):
+                            args.append(texts[x])
+                            continue
+                        chain = [texts[x]]
                         y = x
-                        while text(y + 1) in (".", "?.") and kind(y + 2) == "word":
-                            chain.append(text(y + 2))
+                        while texts[y + 1] in (".", "?.") and kinds[y + 2] == "word":
+                            chain.append(texts[y + 2])
                             y += 2
                         args += [".".join(chain), chain[-1]] if len(chain) > 1 else chain
-                    x += 1
                 f.call(callee, toks[j][2], toks[j][3], args)
         elif k == "str":
             body = t[3:].removesuffix('"""') if t.startswith('"""') else t[1:-1] if len(t) > 1 and t[-1] == t[0] else t[1:]
@@ -260,7 +281,28 @@ def _pairs(toks: list, f: Facts) -> dict[int, int]:
     return out
 
 
-def _roles(toks: list, match: dict[int, int], language: str) -> dict[int, str]:
+def _level(texts: list[str], match: dict[int, int], opening: int):
+    """Places of the tokens right inside a bracket, not in brackets within it."""
+    x, end = opening + 1, min(match.get(opening, opening), len(texts))
+    while x < end:
+        yield x
+        x = match.get(x, x) + 1
+
+
+def _class_fields(toks: list, texts: list[str], match: dict[int, int], at: int, word, roles: dict[int, str]) -> None:  # noqa: ANN001
+    """Fields of a class body: names that begin a member and are followed by a type, a value or its end."""
+    x, angles = at + 1, 0
+    while x < len(toks) and (angles > 0 or texts[x] not in ("{", ";", ")")):
+        angles += (texts[x] == "<") - (texts[x] == ">")
+        x = match.get(x, x) + 1
+    if texts[x] == "{":
+        for y in _level(texts, match, x):
+            begins = texts[y - 1] in MEMBER_STARTS or (y < len(toks) and toks[y][2] != toks[y - 1][2])
+            if word(y) and begins and texts[y + 1] in ("=", ";", "?", "!", ":", "}"):
+                roles.setdefault(y, "TypeField")
+
+
+def _roles(toks: list, texts: list[str], match: dict[int, int], language: str) -> dict[int, str]:
     """What names are, by the tokens around them."""
     n = len(toks)
     roles: dict[int, str] = {}
@@ -272,9 +314,21 @@ def _roles(toks: list, match: dict[int, int], language: str) -> dict[int, str]:
         return 0 <= i < n and toks[i][0] == "word" and toks[i][1] not in KEYWORDS - TYPE_WORDS
 
     script = language in ("typescript", "javascript")
+    beans = language in ("java", "csharp")
+    imported = 0  # the end of the import that was met last
     for i in range(n):
-        t = text(i)
+        t = texts[i]
         if script:
+            if t == "import" and texts[i + 1] not in ("(", "."):
+                imported = i
+                while imported < n and toks[imported][0] != "str" and texts[imported] != ";":
+                    imported += 1
+            elif t == "{" and i > imported and texts[i - 1] in BEFORE_OBJECT:
+                for x in _level(texts, match, i):
+                    if word(x) and texts[x - 1] in ("{", ",") and texts[x + 1] in (",", "}"):
+                        roles.setdefault(x, "Destructure")
+            elif t == "class" and texts[i - 1] not in (".", "?."):
+                _class_fields(toks, texts, match, i, word, roles)
             if t in ("const", "let", "var"):
                 if text(i + 1) in "{[" and text(i + 1):
                     for x in range(i + 2, match.get(i + 1, i + 1)):
@@ -320,6 +374,16 @@ def _roles(toks: list, match: dict[int, int], language: str) -> dict[int, str]:
                     roles.setdefault(i - 1, "Method")
             elif t == ":" and word(i - 1) and text(i - 2) in ("{", ","):
                 roles[i - 1] = "PropertyDef"
+        elif beans and t in ("import", "using", "package") and texts[i - 1] in ("", ";", "}"):
+            end = i + 1
+            while texts[end] in (".", "=", "*", "static") or word(end):
+                roles[end] = "Method"  # parts of a module's name are no names of data
+                end += 1
+            if texts[end] != ";":  # a resource, not an import
+                for x in range(i + 1, end):
+                    roles.pop(x)
+        elif beans and i in roles:
+            continue
         elif language in ("java", "csharp") and word(i) and i and text(i + 1) in ("=", ";", ",", ")", ":", "{", "in", "(") or language in ("java", "csharp") and word(i) and text(i + 1) == "=>":
             before = text(i - 1)
             typed = (word(i - 1) or before in TYPE_WORDS or before in (">", "]", "?")) and text(i - 2) not in (".", "new", "return") and before not in ("return", "new", "throw")

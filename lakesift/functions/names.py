@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
+from functools import cache, reduce
+from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +29,109 @@ def dictionary_entries(custom: Sequence[CustomType] = ()) -> list[tuple[int, str
     return [(i, *flat[i]) for i in order]
 
 
-def dictionary_rule(name: Column, custom: Sequence[CustomType] = ()) -> Column:
-    """Type, category, severity and confidence of the deciding pattern of a name, or null; each pattern is a constant, compiled once a task."""
-    return F.coalesce(
-        *[
-            F.when(name.rlike(f"(?i){p}"), F.struct(F.lit(t).alias("pii_type"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(k).alias("confidence")))
-            for _, t, c, s, p, k in dictionary_entries(custom)
-        ]
-    )
+#: Names a pattern may stand for to be looked up instead of matched.
+MAX_SPELLINGS = 5_000
+
+
+def _spellings(parts) -> list[str]:  # noqa: ANN001
+    """All texts that a parsed pattern of letters, choices and bounded repetition matches; raises ValueError for any other."""
+    out = [""]
+    for op, value in parts:
+        match str(op):
+            case "LITERAL":
+                each = [chr(value)]
+            case "IN" if all(str(o) == "LITERAL" for o, _ in value):
+                each = [chr(v) for _, v in value]
+            case "SUBPATTERN":
+                each = _spellings(value[-1])
+            case "BRANCH":
+                each = [x for branch in value[1] for x in _spellings(branch)]
+            case "MAX_REPEAT" if value[1] <= 4:
+                once, run, each = _spellings(value[2]), [""], [""] if value[0] == 0 else []
+                for n in range(1, value[1] + 1):
+                    run = [x + y for x in run for y in once]
+                    each += run if n >= value[0] else []
+            case _:
+                raise ValueError(op)
+        if len(out) * len(each) > MAX_SPELLINGS:
+            raise ValueError("too many spellings")
+        out = [x + y for x in out for y in each]
+    return out
+
+
+def spellings(pattern: str) -> list[str] | None:
+    """The lower-case names an anchored pattern matches, or None if they are not finite and few."""
+    try:
+        parts = list(_parser.parse(pattern))
+        if [str(op) for op, _ in (parts[0], parts[-1])] == ["AT", "AT"] and str(parts[0][1]) == "AT_BEGINNING" and str(parts[-1][1]) == "AT_END":
+            return [x.lower() for x in _spellings(parts[1:-1])]
+    except (ValueError, IndexError, re.error):
+        pass
+    return None
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """The dictionary as names with their deciding entry, and the patterns that stay patterns, in the order in which they decide."""
+
+    names: dict[str, tuple[str, str, str, str]]
+    patterns: list[tuple[str, str, str, str, str]]
+
+
+@cache
+def _lookup(custom: tuple) -> Lookup:
+    entries = dictionary_entries([CustomType(n, list(p), s) for n, p, s in custom])
+    spelt = [(e, spellings(e[4])) for e in entries]
+    patterns = [(n, re.compile(e[4], re.I), e) for n, (e, names) in enumerate(spelt) if names is None]
+    first: dict[str, int] = {}
+    for n, (_, names) in enumerate(spelt):
+        for x in names or ():
+            first.setdefault(x, n)
+    for x, n in first.items():
+        first[x] = min([n, *(m for m, p, _ in patterns if m < n and p.search(x))])
+    decided = {x: (entries[n][1], entries[n][2], entries[n][3], entries[n][5]) for x, n in first.items()}
+    return Lookup(decided, [(e[4], e[1], e[2], e[3], e[5]) for _, _, e in patterns])
+
+
+def lookup(custom: Sequence[CustomType] = ()) -> Lookup:
+    """How names are matched: most patterns stand for a few names each."""
+    return _lookup(tuple((t.name, tuple(t.patterns), t.severity) for t in custom))
+
+
+def _like_any(name: Column, patterns: Sequence[str]) -> Column:
+    return name.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def in_dictionary(name: Column, custom: Sequence[CustomType] = ()) -> Column:
-    """Whether any pattern matches a name: one alternation, so that most names meet one pattern only."""
-    return name.rlike("(?i)" + "|".join(f"(?:{p})" for _, _, _, _, p, _ in dictionary_entries(custom)))
+def in_dictionary_sql(name: str, custom: Sequence[CustomType] = ()) -> str:
+    """SQL for whether a name (given as SQL) is matched and not safe: one set and one alternation, for use inside arrays too."""
+    table = lookup(custom)
+    listed = f"lower({name}) IN ({', '.join(map(_sql_text, sorted(set(table.names) - set(SAFE_NAMES))))})"
+    some = _sql_text("(?i)" + "|".join(f"(?:{p[0]})" for p in table.patterns))
+    safe = ", ".join(map(_sql_text, SAFE_NAMES))
+    return f"({listed} OR ({name} RLIKE {some} AND lower({name}) NOT IN ({safe})))"
 
 
 def match_names(names: DataFrame, name_col: str, custom: Sequence[CustomType] = ()) -> DataFrame:
-    """``names`` with pii_type, category, severity and confidence of each name that matches.
+    """``names`` with pii_type, category, severity and confidence of each name that matches: a map, without a shuffle.
 
-    Names repeat, so the patterns run over distinct names and the matches, of which there are few, are joined back. Distinct names are few
-    bytes but costly ones: they are spread over all cores, or small shuffles would be merged into one task.
+    Names that patterns spell out are looked up in a broadcast table (as large as the rules, at most ``MAX_SPELLINGS`` names a pattern); only
+    others meet the few patterns that stand for any number of names.
     """
-    spark = names.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = names.select(F.col(name_col).alias("_name")).where("_name is not null").distinct().repartition(tasks, "_name")
-    known = distinct.where(in_dictionary(F.col("_name"), custom) & ~is_safe(F.col("_name")))
-    hits = known.withColumn("_rule", dictionary_rule(F.col("_name"), custom)).select("_name", "_rule.*")
-    return names.join(hits, F.col(name_col) == F.col("_name")).drop("_name")
+    table = lookup(custom)
+    keys = list(table.names)
+    columns = ["pii_type", "category", "severity", "confidence"]
+    spelt = pa.table({"_name": keys} | {c: [table.names[k][i] for k in keys] for i, c in enumerate(columns)})
+    rules = F.broadcast(names.sparkSession.createDataFrame(spelt).withColumn("_spelt", F.struct(*columns)).select("_name", "_spelt"))
+    name = F.col(name_col)
+    matched = names.where(~is_safe(name)).join(rules, F.lower(name) == F.col("_name"), "left").drop("_name")
+    some = _like_any(name, [p[0] for p in table.patterns])
+    matched = matched.where(F.col("_spelt").isNotNull() | some)
+    rest = [F.when(name.rlike(f"(?i){p}"), F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, e, strict=True)])) for p, *e in table.patterns]
+    return matched.withColumn("_spelt", F.coalesce("_spelt", *rest)).select(*names.columns, "_spelt.*")
 
 
 def is_safe(name: Column) -> Column:
@@ -81,9 +161,9 @@ def _ends(text: Column, ends: Sequence[str]) -> Column:
     return reduce(lambda a, e: a | text.endswith(e), ends[1:], text.endswith(ends[0]))
 
 
-def sink_kind(callee: Column, custom: Sequence[CustomSink] = ()) -> Column:
-    """Where a call takes data: log, database, third party, response, then custom sinks; null for none and for allowed ones."""
-    low = F.lower(callee)
+def sink_kind(callee: Column, custom: Sequence[CustomSink] = (), low: Column | None = None) -> Column:
+    """Where a call takes data: log, database, third party, response, then custom sinks; null for none and for allowed ones. ``low`` is the callee in lower case."""
+    low = F.lower(callee) if low is None else low
     log = low.isin(LOG_CALLS) | (_ends(callee, LOG_ENDS) & low.contains("log"))
     http = reduce(lambda a, s: a | low.startswith(s), HTTP_STARTS[1:], low.startswith(HTTP_STARTS[0]))
     holders = reduce(lambda a, h: a | low.contains(h), RESPONSE_HOLDERS[1:], low.contains(RESPONSE_HOLDERS[0]))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.config import Config
-from lakesift.functions.names import in_example_context, in_test_context, level_of, literal_type, match_names, rank
+from lakesift.functions.names import in_dictionary_sql, in_example_context, in_test_context, level_of, literal_type, match_names, rank
 from lakesift.rules.dictionary import SEVERITY_RANK
 from lakesift.sources.files import any_glob
 
@@ -23,10 +23,10 @@ def not_skipped(files: DataFrame, config: Config) -> DataFrame:
     return files.where(~any_glob(F.col("path"), globs)) if globs else files
 
 
-def _with_snippets(parsed: DataFrame, kind: str, keys: list[str], value: str) -> DataFrame:
+def _with_snippets(parsed: DataFrame, facts: Column, keys: list[str], value: str) -> DataFrame:
     """One row per fact with its line's text; the lines themselves stay behind."""
     each = F.transform(
-        kind,
+        facts,
         lambda x: F.struct(
             x["ord"].alias("ord"), x[value].alias(value), x["line"].alias("line"), x["column"].alias("column"),
             F.coalesce(F.get(F.col("lines"), x["line"] - 1), F.lit("")).alias("code_snippet"),
@@ -36,15 +36,17 @@ def _with_snippets(parsed: DataFrame, kind: str, keys: list[str], value: str) ->
 
 
 def identifier_findings(parsed: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """Names of the dictionary; low confidence does not count in tests, and nothing counts in examples."""
-    names = _with_snippets(parsed, "identifiers", keys, "name").where(~in_example_context(F.col("code_snippet")))
+    """Names of the dictionary; low confidence does not count in tests, and nothing counts in examples. Other names never leave their file's array."""
+    known = F.expr(f"filter(identifiers, x -> {in_dictionary_sql('x.name', config.custom_types)})")
+    names = _with_snippets(parsed, known, keys, "name").where(~in_example_context(F.col("code_snippet")))
     found = match_names(names, "name", config.custom_types)
     return found.where(~((F.col("confidence") == "low") & in_test_context(F.col("path")))).withColumn("detector", F.lit(0)).drop("name")
 
 
 def literal_findings(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Literals that hold personal data: the first type that fits, always medium."""
-    texts = _with_snippets(parsed, "literals", keys, "value").withColumn("pii_type", literal_type(F.col("value"))).where("pii_type is not null")
+    some = F.filter("literals", lambda x: literal_type(x["value"]).isNotNull())
+    texts = _with_snippets(parsed, some, keys, "value").withColumn("pii_type", literal_type(F.col("value"))).where("pii_type is not null")
     return texts.drop("value").withColumns(
         {"category": F.lit("contact_info"), "severity": F.lit("medium"), "confidence": F.lit("medium"), "detector": F.lit(1)}
     )

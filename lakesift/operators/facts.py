@@ -37,7 +37,7 @@ def _arrow(ddl: str) -> pa.DataType:
 def extract(files: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, path, language and the lines (without blanks at the ends) of every file, with one array column per kind of fact."""
     columns = [*keys, "path", "language"]
-    slim = spread(files.select(*columns, "source"), *(keys or ["path"]))
+    slim = spread(files.select(*columns, "source"), *keys, "path")
     n = len(columns)
     types = {k: _arrow(d) for k, d in FACTS.items()}
 

@@ -1,6 +1,6 @@
 """Data flow within a file: a finding and the first call that takes its value out.
 
-Findings, of which there are few, meet the calls of their file by one join on the file; the calls stay an array, searched in order.
+Findings, of which there are few, meet the calls of their file that take data somewhere by one join on the file; these stay an array, searched in order.
 """
 
 from __future__ import annotations
@@ -23,15 +23,20 @@ def variable_of(snippet: Column) -> Column:
     return F.coalesce(member, assigned)
 
 
-def first_sink(calls: Column, variable: Column, pii_type: Column, custom: Sequence[CustomSink] = ()) -> Column:
-    """The first call, in order, that uses the variable or a name like the type and takes data somewhere, with its kind."""
+def sink_calls(calls: Column, custom: Sequence[CustomSink] = ()) -> Column:
+    """The calls that take data somewhere, in order, each with its kind: judged once a call, whatever the number of findings."""
+    kind = lambda c: let(F.lower(c["callee"]), lambda low: sink_kind(c["callee"], custom, low))
+    return F.filter(F.transform(calls, lambda c: F.struct(c.alias("call"), kind(c).alias("kind"))), lambda s: s["kind"].isNotNull())
+
+
+def first_sink(sinks: Column, variable: Column, pii_type: Column) -> Column:
+    """The first of ``sink_calls`` that uses the variable or a name like the type."""
 
     def uses(c: Column) -> Column:
         args = c["argument_identifiers"]
         return F.array_contains(args, variable) | F.array_contains(args, pii_type) | c["callee"].contains(variable)
 
-    fitting = F.filter(calls, lambda c: F.coalesce(uses(c), F.lit(False)) & sink_kind(c["callee"], custom).isNotNull())
-    return let(F.get(fitting, F.lit(0)), lambda c: F.when(c.isNotNull(), F.struct(c.alias("call"), sink_kind(c["callee"], custom).alias("kind"))))
+    return F.get(F.filter(sinks, lambda s: F.coalesce(uses(s["call"]), F.lit(False))), F.lit(0))
 
 
 def location(path: Column, line: Column, column: Column) -> Column:
@@ -40,8 +45,9 @@ def location(path: Column, line: Column, column: Column) -> Column:
 
 def with_flow(findings: DataFrame, parsed: DataFrame, keys: list[str], custom: Sequence[CustomSink] = ()) -> DataFrame:
     """``findings`` with ``data_flow``; findings whose sink an allowed custom sink names are dropped."""
-    joined = findings.join(parsed.select(*keys, "path", "calls"), [*keys, "path"], "left").withColumn("_v", variable_of(F.col("code_snippet")))
-    hit = joined.withColumn("_s", F.when(F.col("_v").isNotNull(), first_sink(F.col("calls"), F.col("_v"), F.col("pii_type"), custom))).drop("calls")
+    sinks = parsed.select(*keys, "path", sink_calls(F.col("calls"), custom).alias("_sinks")).where(F.size("_sinks") > 0)
+    joined = findings.join(sinks, [*keys, "path"], "left").withColumn("_v", variable_of(F.col("code_snippet")))
+    hit = joined.withColumn("_s", F.when(F.col("_v").isNotNull(), first_sink(F.col("_sinks"), F.col("_v"), F.col("pii_type")))).drop("_sinks")
     here = location(F.col("path"), F.col("line"), F.col("column"))
     there = location(F.col("path"), F.col("_s.call.line"), F.col("_s.call.column"))
     flow = F.struct(

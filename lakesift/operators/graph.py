@@ -1,7 +1,7 @@
 """Module graph: which file imports which, exports that bear findings, and where importers let them out.
 
 Edges, exports and resolved names are tables; every step is an equi-join. Reachability is a frontier loop: each round joins the new
-nodes only, cuts its lineage by writing to the shared folder and stops when nothing new is met, so cycles end.
+nodes only, writes only these to the shared folder and stops when nothing new is met, so cycles end.
 """
 
 from __future__ import annotations
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.functions.names import sink_kind
-from lakesift.operators.flow import location
-from lakesift.runtime import materialise
+from lakesift.operators.flow import location, sink_calls
+from lakesift.runtime import fresh_path, materialise
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mts", ".py", "/index.ts", "/index.js", "/__init__.py")
 
@@ -86,27 +85,29 @@ def bearing_exports(findings: DataFrame, exports: DataFrame, keys: list[str]) ->
     return findings.join(e, [*keys, "path"]).where((F.col("export_line") == F.col("line")) | F.col("code_snippet").contains(F.col("exported")))
 
 
-def propagate(findings: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Cross-file findings: an export that bears a finding, imported by name elsewhere and let out there by a built-in sink."""
-    resolved = resolved_imports(parsed, keys)
+def propagate(findings: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Cross-file findings: an export that bears a finding, imported by name elsewhere and let out there by a built-in sink. None if no import resolves."""
+    resolved = materialise(resolved_imports(parsed, keys), "resolved")
+    if resolved.isEmpty():
+        return None
     exports = export_index(parsed, keys)
     names = resolved_names(resolved, exports, keys).withColumnRenamed("imported", "path")
     borne = bearing_exports(findings, exports, keys).join(names, [*keys, "path", "exported"])
-    used = borne.join(parsed.select(*keys, F.col("path").alias("importer"), "calls"), [*keys, "importer"])
+    sinks = parsed.select(*keys, F.col("path").alias("importer"), sink_calls(F.col("calls")).alias("_sinks")).where(F.size("_sinks") > 0)
     sym = F.col("local")
 
-    def uses(c: Column) -> Column:
-        return F.exists(c["argument_identifiers"], lambda a: a.contains(sym)) | c["callee"].contains(sym)
+    def uses(s: Column) -> Column:
+        return F.exists(s["call"]["argument_identifiers"], lambda a: a.contains(sym)) | s["call"]["callee"].contains(sym)
 
-    call = F.get(F.filter("calls", lambda c: uses(c) & sink_kind(c["callee"]).isNotNull()), F.lit(0))
-    hit = used.withColumn("_c", call).where("_c is not null").drop("calls")
+    used = borne.join(sinks, [*keys, "importer"]).withColumn("_s", F.get(F.filter("_sinks", uses), F.lit(0)))
+    hit = used.where("_s is not null").select("*", F.col("_s.call").alias("_c"), F.col("_s.kind").alias("_kind")).drop("_sinks", "_s")
     name = F.element_at(F.split("importer", "/"), -1)
     origin = location(F.col("path"), F.col("line"), F.col("column"))
     there = location(F.col("importer"), F.col("_c.line"), F.col("_c.column"))
     first_line = location(F.col("importer"), F.lit(1), F.lit(1))
     flow = F.struct(
         F.struct(F.lit("user_input").alias("kind"), F.concat(sym, F.lit(" (from "), F.col("path"), F.lit(")")).alias("label"), origin.alias("location")).alias("source"),
-        F.struct(sink_kind(F.col("_c.callee")).alias("kind"), F.col("_c.callee").alias("label"), there.alias("location")).alias("sink"),
+        F.struct(F.col("_kind").alias("kind"), F.col("_c.callee").alias("label"), there.alias("location")).alias("sink"),
         F.array(origin, first_line, there).alias("path"),
     )
     return hit.select(
@@ -115,21 +116,35 @@ def propagate(findings: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def reach(edge_table: DataFrame, start: DataFrame, source: str, target: str, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """(keys, start, node): every node that edges lead to from each start; a start is met itself only through a cycle."""
-    step = edge_table.select(*keys, F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
-    frontier = start.select(*keys, F.col("start"), F.col("start").alias("node"))
-    seen: DataFrame | None = None
-    for _ in range(max_rounds):
+def reach(edge_table: DataFrame, start: DataFrame, source: str, target: str, keys: list[str], max_rounds: int = 100_000) -> DataFrame:
+    """(keys, start, node): every node that edges lead to from each start; a start is met itself only through a cycle.
+
+    A round writes the nodes it meets for the first time and reads those of the rounds before. More than ``max_rounds`` rounds (a path that long) are an error, never an incomplete result.
+    """
+    spark = edge_table.sparkSession
+    step = materialise(edge_table.select(*keys, F.col(source).alias("_from"), F.col(target).alias("_to")).distinct(), "edges")
+    frontier = start.select(*keys, F.col("start"), F.col("start").alias("node")).distinct()
+    schema, rounds = frontier.schema, fresh_path(spark, "reached")
+    for n in range(max_rounds):
         met = frontier.join(step, (F.col("node") == F.col("_from")) & _same(frontier, step, keys)).select(
             *[frontier[k] for k in keys], frontier["start"], F.col("_to").alias("node")
         ).distinct()
-        new = materialise(met if seen is None else met.join(seen, [*keys, "start", "node"], "left_anti"), "reach")
-        if new.isEmpty():
-            break
-        seen = new if seen is None else materialise(seen.unionByName(new), "reached")
-        frontier = new
-    return seen if seen is not None else frontier.limit(0)
+        if n:
+            seen = spark.read.schema(schema).parquet(*[f"{rounds}/{i}" for i in range(n)])
+            met = _unseen(met, seen, keys)
+        met.write.parquet(f"{rounds}/{n}")
+        frontier = spark.read.schema(schema).parquet(f"{rounds}/{n}")
+        if frontier.isEmpty():
+            return spark.read.schema(schema).parquet(*[f"{rounds}/{i}" for i in range(n + 1)])
+    raise RuntimeError(f"nodes are still met after {max_rounds} rounds")
+
+
+def _unseen(met: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``met`` that are not in ``seen``; null keys are equal."""
+    condition = F.lit(True)
+    for c in [*keys, "start", "node"]:
+        condition = condition & met[c].eqNullSafe(seen[c])
+    return met.join(seen, condition, "left_anti")
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
