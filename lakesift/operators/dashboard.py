@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.functions.names import rank
+from lakesift.operators.versions import Versions
 from lakesift.rules.dictionary import SEVERITY_RANK
 
 MAX_PAGE, MAX_DAYS = 100, 365
@@ -67,10 +70,43 @@ def top_projects(scans: DataFrame, n: int = 5) -> DataFrame:
     return per.orderBy(F.col("total").desc(), "project_name").limit(n)
 
 
+def top_types(scans: DataFrame, since: Column, until: Column, n: int = 5) -> DataFrame:
+    """The ``n`` most frequent types of each team's scans in a span of time: (team_id, pii_type, n, place)."""
+    week = scans.where((F.col("created_at") >= since) & (F.col("created_at") < until) & F.col("team_id").isNotNull())
+    each = week.select("team_id", F.explode(F.from_json("pii_type_summary", "map<string,bigint>")).alias("pii_type", "n"))
+    sums = each.groupBy("team_id", "pii_type").agg(F.sum("n").cast("bigint").alias("n"))
+    place = F.row_number().over(Window.partitionBy("team_id").orderBy(F.col("n").desc(), "pii_type"))  # types are bounded by the rules
+    return sums.withColumn("place", place).where(F.col("place") <= n)
+
+
+def owners(teams: DataFrame, users: DataFrame, key: str = "team_id", role: str = "role") -> DataFrame:
+    """(team_id, user_id, email) of each team's owner, the oldest of several."""
+    own = users.where((F.col(role) == "owner") & F.col(key).isNotNull())
+    first = own.groupBy(key).agg(F.min_by(F.struct("id", "email"), F.struct("created_at", "id")).alias("u"))
+    return teams.select(F.col("id").alias(key)).join(first, key).select(key, F.col("u.id").alias("user_id"), F.col("u.email").alias("email"))
+
+
+def weekly_summary(scans: DataFrame, since: Column, until: Column) -> DataFrame:
+    """One row per team with a scan in a week: scans, findings, those of the week before, the direction and the top types."""
+
+    def per(a: Column, b: Column, *names: str) -> DataFrame:
+        rows = scans.where((F.col("created_at") >= a) & (F.col("created_at") < b) & F.col("team_id").isNotNull())
+        found = F.coalesce(F.sum("findings_count"), F.lit(0)).cast("bigint")
+        return rows.groupBy("team_id").agg(F.count("*").alias(names[0]), found.alias(names[1]))
+
+    span = until - since
+    now, before = per(since, until, "scans", "findings"), per(since - span, since, "scans_before", "findings_before")
+    types = top_types(scans, since, until).groupBy("team_id").agg(F.array_sort(F.collect_list(F.struct("place", "pii_type"))).alias("t"))
+    joined = now.join(before, "team_id", "left").join(types, "team_id", "left").fillna(0, ["scans_before", "findings_before"])
+    trend = F.when(F.col("findings") > F.col("findings_before"), "up").when(F.col("findings") < F.col("findings_before"), "down").otherwise("stable")
+    return joined.select("team_id", "scans", "findings", "findings_before", trend.alias("trend"), F.coalesce(F.array_join("t.pii_type", ","), F.lit("")).alias("top_types"))
+
+
 def latest_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The latest row of every key; combines before the shuffle, so a busy key is one row per task."""
-    every = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(every, order).alias("_r")).select("_r.*")
+    """The latest row of every key, one without an order only where no other is there; combines before the shuffle, so a busy key is one row per task."""
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    place = F.struct(order.isNotNull(), order)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(every, place).alias("_r")).select("_r.*")
 
 
 def billing_events(messages: DataFrame) -> DataFrame:
@@ -93,6 +129,24 @@ def subscriptions(messages: DataFrame) -> DataFrame:
     return latest_by(billing_events(messages), "subscription", F.col("delivery_no"))
 
 
+class Subscriptions(Versions):
+    """The current row of every subscription as a versioned table that batches of messages are merged into."""
+
+    def current(self) -> DataFrame | None:
+        m = self.manifest()
+        return self.spark.read.parquet(f"{self.path}/{m['folder']}/rows") if m else None
+
+    def load(self, messages: DataFrame, batch: str | None = None) -> None:
+        """Merge a batch: of each subscription the delivery with the greatest number holds, whatever batch it came in. A batch loaded before is not loaded again."""
+        if self.committed(batch):
+            return
+        held, folder = self.current(), self.new_folder()
+        fresh = billing_events(messages)
+        merged = fresh if held is None else held.unionByName(fresh)
+        self.write(latest_by(merged, "subscription", F.col("delivery_no")), folder, "rows")
+        self.publish(self.version() + 1, {"folder": folder, "batch": batch if batch is not None else folder})
+
+
 def plan_of(status: Column) -> Column:
     """Plan that a subscription status gives."""
     return F.when(status.isin(*PAID), "pro").otherwise("free")
@@ -110,6 +164,19 @@ def stored_scan(scans: DataFrame) -> DataFrame:
     return scans.withColumns({c: F.to_json(c) for c in scans.columns if kinds[c].startswith(("array", "map", "struct"))})
 
 
+def signed(payload: Column, header: Column, secret: str, now: Column, tolerance: int = 300) -> Column:
+    """Whether a webhook's header (``t=<seconds>,v1=<hex>``) signs its payload with the secret, within ``tolerance`` seconds of ``now`` (seconds since 1970)."""
+    at = F.regexp_extract(header, r"(?:^|,)\s*t=(\d+)", 1)
+    given = F.regexp_extract_all(header, F.lit(r"(?:^|,)\s*v1=([0-9a-fA-F]{64})"), F.lit(1))
+    message = F.concat(at, F.lit("."), payload)
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in key)) for x in (0x36, 0x5C))
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+    fresh = F.abs(now - at.try_cast("bigint")) <= tolerance
+    return F.coalesce((at != "") & fresh & F.array_contains(F.transform(given, F.lower), digest), F.lit(False))
+
+
 def hashed_key(key: Column) -> Column:
     """SHA-256 of an access key."""
     return F.sha2(key, 256)

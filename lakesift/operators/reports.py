@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions.names import level_of, rank
+from lakesift.operators.baseline import displayed
 from lakesift.operators.frameworks import article_report
+from lakesift.operators.suggest import described
 from lakesift.rules.dictionary import SEVERITY_RANK
 
 LEVELS = ["critical", "high", "medium", "low"]
@@ -70,16 +72,57 @@ def sarif_lines(findings: DataFrame) -> DataFrame:
     return r.select("id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
 
 
-def save_scan(findings: DataFrame, path: str) -> None:
-    """Findings as JSON lines, one file per partition."""
-    findings.write.mode("overwrite").json(path)
+#: Findings in one document of a saved scan.
+SET_SIZE = 10_000
 
 
-def append_scans(scans: DataFrame, path: str) -> None:
-    """Append to the scans table, partitioned by team."""
+def save_scan(findings: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """A scan as JSON documents ``{"findings": [...], "metadata": {...}}`` of about ``SET_SIZE`` findings, one a file; a scan of no more is one document. ``sources.files.saved_scan`` reads it."""
+    sets = -(-findings.count() // SET_SIZE)
+    every = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    kinds = {"path": "string", "files_scanned": "bigint", "files_skipped": "bigint", "duration": "bigint", "frameworks": "array<string>", "tool_version": "string"}
+    known = metadata or {}
+    about = F.struct(*[(F.array(*[F.lit(x) for x in known.get(k) or []]) if t.startswith("array") else F.lit(known.get(k))).cast(t).alias(k) for k, t in kinds.items()])
+    number = F.pmod(F.xxhash64(every), F.lit(max(1, sets)))
+    if sets:
+        grouped = findings.groupBy(number.alias("_set")).agg(F.collect_list(every).alias("findings"))
+    else:
+        grouped = findings.sparkSession.range(1).select(F.array().cast(f"array<{findings.select(every.alias('s')).schema['s'].dataType.simpleString()}>").alias("findings"))
+    grouped.select("findings", about.alias("metadata")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", "false").json(path)
+
+
+def append_scans(scans: DataFrame, path: str, findings: DataFrame | None = None, findings_path: str | None = None) -> None:
+    """Append to the scans table, partitioned by team, and its findings to theirs: findings first, so a scan that shows has all of its own."""
+    if findings is not None and findings_path:
+        findings.write.mode("append").parquet(findings_path)
     scans.write.mode("append").partitionBy("team_id").parquet(path)
 
 
+def stored_findings(findings: DataFrame, scan_id: Column, created_at: Column) -> DataFrame:
+    """Findings as rows of the stored table: flat, with flow and mappings as JSON text."""
+    return findings.select(
+        "id", scan_id.alias("scan_id"), "pii_type", "severity", F.col("location.file").alias("file_path"), F.col("location.line").alias("line"), "code_snippet",
+        F.to_json("data_flow").alias("data_flow"), F.to_json("framework_mappings").alias("framework_mappings"), created_at.alias("created_at"),
+    )
+
+
+def diff_rows(diffed: DataFrame) -> DataFrame:
+    """What the diff table shows: change, severity, type, place and the changes as ``field: old -> new``; unchanged findings are left out."""
+    said = F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit(": "), c["old_value"], F.lit(" -> "), c["new_value"])), ", ")
+    place = F.concat(display_path(F.col("finding.location.file")), F.lit(":"), F.col("finding.location.line").cast("string"))
+    return displayed(diffed).select("change", F.col("finding.id").alias("id"), F.col("finding.severity").alias("severity"), F.col("finding.pii_type").alias("pii_type"), place.alias("place"), said.alias("changes"))
+
+
+def diff_lines(diffed: DataFrame) -> DataFrame:
+    """Every entry of a diff as a JSON object, one a row."""
+    return diffed.select("change", F.to_json(F.struct(F.col("change").alias("kind"), "finding", "changes")).alias("entry"))
+
+
+def suggestion_lines(suggestions: DataFrame) -> DataFrame:
+    """Suggestions as JSON objects, one a row, next to their diff text."""
+    return suggestions.select("finding_id", F.to_json(F.struct(*suggestions.columns)).alias("suggestion"), F.col("unified_diff").alias("diff"))
+
+
 def ranked(findings: DataFrame, n: int) -> list:
     """The ``n`` worst findings in display order."""
     return findings.orderBy(rank(F.col("severity"), SEVERITY_RANK).desc(), F.split("location.file", "/"), "location.line", "id").limit(n).collect()
@@ -108,10 +151,15 @@ def html_report(findings: DataFrame, framework: str) -> str:
 
 
 def diagnostics(findings: DataFrame) -> DataFrame:
-    """Editor diagnostics: critical is an error, high a warning, medium information, low a hint; with the quick fix's title for the first of a line."""
+    """Editor diagnostics: critical is an error, high a warning, medium information, low a hint; the first finding of a line carries the title of its quick fix."""
     r = rank(F.col("severity"), SEVERITY_RANK)
     level = F.when(r == 3, "ERROR").when(r == 2, "WARNING").when(r == 1, "INFORMATION").otherwise("HINT")
-    return findings.select(F.col("location.file").alias("uri"), F.col("location.line").alias("line"), level.alias("level"), "pii_type", F.substring("code_snippet", 1, 80).alias("text"))
+    first = findings.groupBy("location.file", "location.line").agg(F.min("id").alias("_first")).select(F.col("file").alias("_f"), F.col("line").alias("_l"), "_first")
+    here = F.col("location.file").eqNullSafe(F.col("_f")) & F.col("location.line").eqNullSafe(F.col("_l"))
+    title = F.when(F.col("id") == F.col("_first"), described(F.col("pii_type"), F.col("data_flow.sink.kind")))
+    return findings.join(first, here, "left").select(
+        F.col("location.file").alias("uri"), F.col("location.line").alias("line"), level.alias("level"), "pii_type", F.substring("code_snippet", 1, 80).alias("text"), title.alias("quick_fix")
+    )
 
 
 def alerts(scans: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def _patched(line: Column, pii_type: Column, kind: Column) -> Column:
     return let(expression_of(line, pii_type), patch)
 
 
-def _described(pii_type: Column, kind: Column) -> Column:
+def described(pii_type: Column, kind: Column) -> Column:
     def say(before: str, after: str) -> Column:
         return F.concat(F.lit(before), pii_type, F.lit(after))
 
@@ -79,12 +79,18 @@ def suggest(findings: DataFrame, sources: DataFrame | None = None, ids: list[str
     )
     original = F.col("code_snippet")
     if sources is not None:
-        base = base.join(sources.select(F.col("path").alias("file"), "source"), "file", "left")
-        original = F.coalesce(F.get(F.split("source", "\r?\n"), F.col("line") - 1), original)
-    lined = base.withColumn("original_line", original).where("original_line is not null and trim(original_line) <> ''").drop("source")
+        # A file's wanted lines are cut out once, however many findings it has; findings then meet their line, not the text.
+        wanted = base.groupBy("file").agg(F.array_sort(F.collect_set("line")).alias("_wanted"))
+        lines = F.split("source", "\r?\n")
+        cut = sources.select(F.col("path").alias("file"), "source").join(wanted, "file").select(
+            "file", F.explode(F.transform("_wanted", lambda n: F.struct(n.alias("line"), F.get(lines, n - 1).alias("text")))).alias("_l")
+        )
+        base = base.join(cut.select("file", "_l.line", F.col("_l.text").alias("_text")), ["file", "line"], "left")
+        original = F.coalesce("_text", original)
+    lined = base.withColumn("original_line", original).where("original_line is not null and trim(original_line) <> ''")
     patched = lined.withColumn("replacement_line", _patched(F.col("original_line"), F.col("pii_type"), F.col("kind")))
     return patched.select(
-        F.col("id").alias("finding_id"), "file", "line", _described(F.col("pii_type"), F.col("kind")).alias("description"), "original_line", "replacement_line",
+        F.col("id").alias("finding_id"), "file", "line", described(F.col("pii_type"), F.col("kind")).alias("description"), "original_line", "replacement_line",
         unified_diff(F.col("file"), F.col("line"), F.col("original_line"), F.col("replacement_line")).alias("unified_diff"),
     )
 

@@ -27,7 +27,9 @@ def scan_parsed(parsed: DataFrame, keys: list[str], config: Config, cross_file:
     found = with_flow(detect(parsed, keys, config), parsed, keys, config.custom_sinks)
     if cross_file:
         found = materialise(found, "findings")
-        found = found.unionByName(propagate(found, parsed, keys).select(found.columns))
+        crossed = propagate(found, parsed, keys)
+        if crossed is not None:
+            found = found.unionByName(crossed.select(found.columns))
     return with_mappings(found, config.frameworks)
 
 
@@ -51,7 +53,12 @@ def in_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank(F.col("severity"), SEVERITY_RANK).desc(), F.split("location.file", "/"), "location.line", "id")
 
 
+def gate(findings: DataFrame, level: str = "high", *by: str) -> DataFrame:
+    """Whether any finding is at or above a level (an unknown level counts as high), with the worst rank, whole or by columns."""
+    r = rank(F.col("severity"), SEVERITY_RANK)
+    return findings.groupBy(*by).agg(F.coalesce(F.bool_or(r >= SEVERITY_RANK.get(level.lower(), 2)), F.lit(False)).alias("fails"), F.max(r).alias("worst"))
+
+
 def fails(findings: DataFrame, level: str = "high") -> bool:
-    """Whether any finding is at or above a level; an unknown level counts as high."""
-    least = SEVERITY_RANK.get(level.lower(), 2)
-    return not findings.where(rank(F.col("severity"), SEVERITY_RANK) >= least).isEmpty()
+    """Whether the scan as a whole fails."""
+    return gate(findings, level).first().fails

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lakesift.operators import dashboard as d
 from lakesift.operators import reports
-from lakesift.runtime import table
+from lakesift.runtime import fresh_path, table
 
 TEAM = "9e8465c9-0000-407e-8000-000000000001"
+WEEK, WEEK_END = "2025-06-09 00:00:00", "2025-06-16 00:00:00"
 SINCE = "2025-06-20 00:00:00"
 BOUNDS, LABELS = [0, 10, 50, 100, 500, 1000], ["0", "1-10", "11-50", "51-100", "101-500", "501-1000", "1000+"]
 MS, MS_LABELS = [100, 500, 1000, 5000, 30000], ["<100ms", "100-500ms", "500ms-1s", "1-5s", "5-30s", "30s+"]
@@ -70,6 +71,25 @@ def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     return d.subscriptions(table(spark, sf, "stripe_messages")).select("subscription", "customer", "status", "price", "period_end", "route", d.plan_of(F.col("status")).alias("plan"))
 
 
+def subscriptions_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of subscriptions after its messages were merged in two batches, the later ones first."""
+    messages, kept = table(spark, sf, "stripe_messages"), d.Subscriptions(spark, fresh_path(spark, "subscriptions"))
+    late = F.pmod("delivery_no", F.lit(2)) == 1
+    for n, part in enumerate((messages.where(late), messages.where(~late))):
+        kept.load(part, f"batch {n}")
+    return kept.current().select("subscription", "customer", "status", "price", "period_end", "route", d.plan_of(F.col("status")).alias("plan"))
+
+
+def weekly_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly report's row of every team with a scan in a week, with its top types."""
+    return d.weekly_summary(_single(spark, sf), F.lit(WEEK).cast("timestamp_ntz"), F.lit(WEEK_END).cast("timestamp_ntz"))
+
+
+def top_types_of_week(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most frequent types of every team in a week."""
+    return d.top_types(_single(spark, sf), F.lit(WEEK).cast("timestamp_ntz"), F.lit(WEEK_END).cast("timestamp_ntz"))
+
+
 def team_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Every team's plan by its latest subscription."""
     return d.team_plans(table(spark, sf, "teams"), table(spark, sf, "stripe_messages"))
@@ -104,7 +124,7 @@ def key_hashes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scans_page, scan_drilldown, trend_daily, trend_window, trend_weekly, top_projects, type_distribution, active_teams, subscriptions, team_plans, event_routes, scan_alerts, bucket_sizes,
+        scans_page, scan_drilldown, trend_daily, trend_window, trend_weekly, top_projects, type_distribution, active_teams, subscriptions, subscriptions_merged, weekly_summary, top_types_of_week, team_plans, event_routes, scan_alerts, bucket_sizes,
         latest_per_user, key_hashes,
     )
 }
@@ -122,6 +142,10 @@ def _bucket(col: str, bounds: list[int], labels: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN {col} <= {b} THEN '{x}'" for b, x in zip(bounds, labels, strict=False)) + f" WHEN {col} IS NOT NULL THEN '{labels[-1]}' END"
 
 
+_TOP = f""", wk AS (SELECT * FROM one WHERE team_id IS NOT NULL AND created_at >= TIMESTAMP '{WEEK}' AND created_at < TIMESTAMP '{WEEK_END}'),
+x AS (SELECT team_id, unnest(json_keys(CAST(pii_type_summary AS JSON))) AS pii_type, CAST(pii_type_summary AS JSON) AS j FROM wk WHERE pii_type_summary IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY n DESC, pii_type) AS place FROM (SELECT team_id, pii_type, CAST(sum(CAST(j->>pii_type AS BIGINT)) AS BIGINT) AS n FROM x GROUP BY ALL)) """
+
 SQL = {
     "scans_page": _ONE + f"SELECT id, project_name, findings_count FROM one WHERE team_id = '{TEAM}' ORDER BY created_at DESC, id LIMIT 10 OFFSET 10",
     "scan_drilldown": """SELECT scan_id, CASE lower(trim(severity)) WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS severity_rank, count(*) AS n, min(line) AS first_line
@@ -143,6 +167,18 @@ SELECT team_id, pii_type, CAST(sum(CAST(j->>pii_type AS BIGINT)) AS BIGINT) AS n
     "subscriptions": _BILLING
     + """SELECT subscription, customer, status, price, period_end, route, CASE WHEN status IN ('active', 'trialing') THEN 'pro' ELSE 'free' END AS plan
 FROM (SELECT *, row_number() OVER (PARTITION BY subscription ORDER BY delivery_no DESC) AS rn FROM e WHERE subscription IS NOT NULL) WHERE rn = 1""",
+    "top_types_of_week": _ONE + _TOP + "SELECT team_id, pii_type, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5",
+    "weekly_summary": _ONE
+    + _TOP
+    + """, now AS (SELECT team_id, count(*) AS scans, CAST(coalesce(sum(findings_count), 0) AS BIGINT) AS findings FROM wk GROUP BY team_id),
+old AS (SELECT team_id, CAST(coalesce(sum(findings_count), 0) AS BIGINT) AS f FROM one WHERE team_id IS NOT NULL AND created_at >= TIMESTAMP '"""
+    + WEEK
+    + "' - INTERVAL 7 DAY AND created_at < TIMESTAMP '"
+    + WEEK
+    + """' GROUP BY team_id),
+t AS (SELECT team_id, string_agg(pii_type, ',' ORDER BY place) AS top_types FROM r WHERE place <= 5 GROUP BY team_id)
+SELECT now.team_id, scans, findings, coalesce(f, 0) AS findings_before, CASE WHEN findings > coalesce(f, 0) THEN 'up' WHEN findings < coalesce(f, 0) THEN 'down' ELSE 'stable' END AS trend, coalesce(top_types, '') AS top_types
+FROM now LEFT JOIN old USING (team_id) LEFT JOIN t USING (team_id)""",
     "team_plans": _BILLING
     + """, l AS (SELECT customer, status FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY delivery_no DESC) AS rn FROM e WHERE customer IS NOT NULL) WHERE rn = 1)
 SELECT id, name, stripe_customer_id, CASE WHEN status IN ('active', 'trialing') THEN 'pro' ELSE 'free' END AS current_plan FROM teams LEFT JOIN l ON customer = stripe_customer_id""",
@@ -156,3 +192,4 @@ k AS (SELECT id, unnest(json_keys(CAST(pii_type_summary AS JSON))) AS t, CAST(pi
 l AS (SELECT id, string_agg(t, ',' ORDER BY CAST(j->>t AS BIGINT) DESC, t) AS top_types FROM k GROUP BY id)
 SELECT id, team_id, project_name, critical_count, high_count, CASE WHEN pii_type_summary IS NULL THEN NULL ELSE coalesce(top_types, '') END AS top_types FROM a LEFT JOIN l USING (id)""",
 }
+SQL["subscriptions_merged"] = SQL["subscriptions"]

@@ -13,9 +13,9 @@ from lakesift.operators import baseline, detect, facts, flow, frameworks, graph,
 from lakesift.rules.dictionary import SEVERITY_RANK
 from lakesift.rules.frameworks import FRAMEWORKS, GROUPS, RULES
 from lakesift.rules.literals import LITERALS, SAFE_NAMES, TEST_CONTEXT
-from lakesift.rules.sinks import DATABASE_ENDS, HTTP_STARTS, LOG_CALLS, LOG_ENDS, RESPONSE_ENDS, RESPONSE_HOLDERS
-from lakesift.runtime import materialise, table
-from lakesift.sources.files import any_glob, excluded, staged, table_files
+from lakesift.rules.sinks import DATABASE_ENDS, HTTP_STARTS, LOG_CALLS, LOG_ENDS, MASKS, RESPONSE_ENDS, RESPONSE_HOLDERS
+from lakesift.runtime import fresh_path, materialise, table
+from lakesift.sources.files import any_glob, excluded, saved_metadata, saved_scan, staged, table_files
 
 def lit_doc_first_type(spark: SparkSession, sf: str) -> DataFrame:
     """The first literal type of every document that has one."""
@@ -108,14 +108,45 @@ def severity_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def failon_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Scans whose stored findings reach critical."""
-    r = names.rank(F.col("severity"), SEVERITY_RANK)
-    return table(spark, sf, "scan_findings").groupBy("scan_id").agg(F.bool_or(r >= 3).alias("fails"), F.max(r).alias("worst"))
+    return pipeline.gate(table(spark, sf, "scan_findings"), "critical", "scan_id")
 
 
 def first_per_line(spark: SparkSession, sf: str) -> DataFrame:
     """One stored finding per scan, file, line and type: that with the smallest id."""
-    rows = table(spark, sf, "scan_findings")
-    return rows.groupBy("scan_id", "file_path", "line", "pii_type").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    rows = table(spark, sf, "scan_findings").select("scan_id", F.col("file_path").alias("path"), "line", "pii_type", "id", F.lit(0).alias("detector"), F.col("id").alias("ord"), F.lit(1).alias("column"))
+    return detect.once_per_line(rows, ["scan_id"]).select("scan_id", "path", "line", "pii_type", "id")
+
+
+def worst_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifty saved findings of at least medium severity as they are shown (a top-n report)."""
+    return pipeline.in_order(pipeline.shown(table(spark, sf, "findings"), "medium")).limit(50).select("id", "location.file", "location.line", F.lower("severity").alias("severity"))
+
+
+def diff_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifty entries of the diff of the two scans as they are shown (a top-n report)."""
+    old, new = _two_scans(spark, sf)
+    entries = baseline.in_order(baseline.displayed(baseline.diff(old, new, F.col("id")))).limit(50)
+    return reports.diff_rows(entries).select("change", "id", "pii_type", "changes")
+
+
+def saved_and_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved findings, written as a saved scan with what it says of itself and read again, by type and framework."""
+    path = fresh_path(spark, "saved-scan")
+    reports.save_scan(table(spark, sf, "findings"), path, {"path": "/src", "files_scanned": 7, "frameworks": ["gdpr"]})
+    back = saved_scan(spark, path)
+    per = back.groupBy("pii_type", "severity").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("framework_mappings"), F.lit(0))).alias("mappings"), F.count("data_flow.sink.kind").alias("sinks"))
+    return per.crossJoin(F.broadcast(saved_metadata(spark, path).select("files_scanned")))  # one row
+
+
+def upload_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What an upload of the saved findings says: counts by severity and the types."""
+    return reports.upload_payload(table(spark, sf, "findings")).select(*reports.LEVELS, "total", F.explode("pii_type_summary").alias("pii_type", "n"))
+
+
+def quick_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Editor diagnostics of the saved findings by level and title of their quick fix."""
+    rows = table(spark, sf, "findings").where("id is not null").dropDuplicates(["id"])
+    return reports.diagnostics(rows).groupBy("level", "quick_fix").agg(F.count("*").alias("n"))
 
 
 def order_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lit_doc_first_type, lit_line_findings, lit_lang_rollup, dict_words, context_flags, allow_ignore_cap, glob_exclude, staged_files, flow_variables, sink_classify,
-        fw_mapping_explode, fw_article_report, severity_summary, failon_gate, first_per_line, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
+        fw_mapping_explode, fw_article_report, severity_summary, failon_gate, first_per_line, worst_findings, diff_shown, saved_and_read, upload_totals, quick_fixes, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
         facts_by_language, scan_parsed_files, module_edges,
     )
 }
@@ -251,6 +282,10 @@ m AS (SELECT c.id, f.id IS NULL AS fresh, concat_ws(',', CASE WHEN coalesce(f.sv
 d AS (SELECT CASE WHEN fresh THEN 'added' WHEN fields <> '' THEN 'modified' ELSE 'unchanged' END AS change, id, CASE WHEN fresh THEN '' ELSE fields END AS fields FROM m
   UNION ALL SELECT 'removed', id, '' FROM b WHERE k NOT IN (SELECT k FROM c)) """
 
+_DESCRIBED = """CASE kind WHEN 'log_output' THEN 'Mask ' || pii_type || ' before logging to prevent PII leakage' WHEN 'third_party_api' THEN 'Mask ' || pii_type || ' before sending to third-party API'
+  WHEN 'response' THEN 'Redact ' || pii_type || ' from API response payload' WHEN 'database' THEN 'Encrypt ' || pii_type || ' before storing in database' ELSE 'Review handling of ' || pii_type || ' to ensure compliance' END"""
+_MASK = "CASE " + " ".join(f"WHEN pii_type = {_q(t)} THEN {_q(m)}" for t, m in MASKS.items()) + " ELSE 'maskPii' END"
+
 _PATH = r"regexp_replace(replace(path, '\', '/'), '^(?:\./)+', '')"
 
 
@@ -291,7 +326,37 @@ FROM (SELECT *, row_number() OVER (PARTITION BY framework, id ORDER BY pos) AS p
     + ", ".join(f"count(*) FILTER (lower(trim(severity)) = '{s}') AS {s}" for s in reports.LEVELS)
     + ", count(*) AS total FROM scan_findings GROUP BY pii_type",
     "failon_gate": f"SELECT scan_id, bool_or({_RANK} >= 3) AS fails, max({_RANK}) AS worst FROM scan_findings GROUP BY scan_id",
-    "first_per_line": "SELECT scan_id, file_path, line, pii_type, min(id) AS id, count(*) AS n FROM scan_findings GROUP BY scan_id, file_path, line, pii_type",
+    "first_per_line": "SELECT scan_id, file_path AS path, line, pii_type, min(id) AS id FROM scan_findings GROUP BY scan_id, file_path, line, pii_type",
+    "worst_findings": f"""SELECT id, location.file AS file, location.line AS line, lower(severity) AS severity FROM findings WHERE {_RANK} >= 1 AND lower(trim(confidence)) IN ('medium', 'high')
+ORDER BY {_RANK} DESC, string_split(location.file, '/') NULLS FIRST, location.line NULLS FIRST, id NULLS FIRST LIMIT 50""",
+    "saved_and_read": "SELECT pii_type, severity, count(*) AS n, CAST(sum(coalesce(len(framework_mappings), 0)) AS BIGINT) AS mappings, count(data_flow.sink.kind) AS sinks, CAST(7 AS BIGINT) AS files_scanned FROM findings GROUP BY pii_type, severity",
+    "upload_totals": "SELECT *, (SELECT count(*) FROM findings) AS total FROM (SELECT "
+    + ", ".join(f"count(*) FILTER (lower(trim(severity)) = '{s}') AS {s}" for s in reports.LEVELS)
+    + " FROM findings), (SELECT pii_type, count(*) AS n FROM findings GROUP BY pii_type)",
+    "quick_fixes": f"""WITH one AS (SELECT DISTINCT ON (id) * FROM findings WHERE id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY location.file, location.line ORDER BY id) AS k, data_flow.sink.kind AS kind FROM one)
+SELECT CASE {_RANK} WHEN 3 THEN 'ERROR' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'INFORMATION' ELSE 'HINT' END AS level, CASE WHEN k = 1 THEN {_DESCRIBED} END AS quick_fix, count(*) AS n FROM p GROUP BY ALL""",
+    "suggest_patches": f"""WITH one AS (SELECT DISTINCT ON (id) id, pii_type, location.file AS file, location.line AS line, code_snippet AS s, data_flow.sink.kind AS kind FROM findings),
+w AS (SELECT *, lower(pii_type) AS t, replace(lower(pii_type), '_', '') AS u, regexp_extract_all(s, '\\b(\\w+\\.\\w+(?:\\.\\w+)*)', 1) AS paths, regexp_extract_all(s, '\\b(\\w+)\\b', 1) AS words, regexp_extract(s, '^(\\s*)', 1) AS ind
+  FROM one WHERE s IS NOT NULL AND trim(s, ' ') <> ''),
+e AS (SELECT *, coalesce(list_filter(paths, lambda p: contains(lower(string_split(p, '.')[-1]), t) OR contains(lower(string_split(p, '.')[-1]), u))[1], list_filter(words, lambda p: contains(lower(p), t) OR contains(lower(p), u))[1]) AS x FROM w),
+r AS (SELECT *, CASE kind
+  WHEN 'log_output' THEN CASE WHEN x IS NOT NULL THEN replace(s, x, {_MASK} || '(' || x || ')') ELSE ind || '// TODO: mask PII (' || pii_type || ') before logging' END
+  WHEN 'third_party_api' THEN CASE WHEN x IS NOT NULL THEN replace(s, x, {_MASK} || '(' || x || ')') ELSE ind || '// TODO: mask or remove ' || pii_type || ' before sending to third-party API' END
+  WHEN 'response' THEN CASE WHEN x IS NOT NULL THEN replace(s, x, '"[REDACTED]"') ELSE ind || '// TODO: redact ' || pii_type || ' from response' END
+  WHEN 'database' THEN CASE WHEN x IS NOT NULL THEN replace(s, x, 'encrypt(' || x || ')') ELSE ind || '// TODO: encrypt ' || pii_type || ' before database storage' END
+  ELSE ind || '// TODO: review handling of ' || pii_type || ' — ensure encryption at rest, minimize collection' END AS y FROM e)
+SELECT id AS finding_id, {_DESCRIBED} AS description, y AS replacement_line,
+  sha256('--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || '@@ -' || line || ',1 +' || line || ',1 @@' || chr(10) || '-' || s || chr(10) || '+' || y || chr(10)) AS diff_hash FROM r""",
+    "diff_shown": _DIFF.rstrip() + f""", x AS (SELECT d.*, CASE WHEN change = 'removed' THEN b.sv ELSE c.sv END AS severity, one.pii_type, one.location AS loc, f.sv AS fsv, c.sv AS csv, f.location.line AS fl, c.location.line AS cl,
+    f.data_flow IS NULL AS ff, c.data_flow IS NULL AS cf, coalesce(len(f.framework_mappings), 0) AS fm, coalesce(len(c.framework_mappings), 0) AS cm, f.confidence AS fc, c.confidence AS cc
+  FROM d JOIN one ON d.id = one.id LEFT JOIN b ON d.change = 'removed' AND b.id = d.id LEFT JOIN c ON d.change <> 'removed' AND c.id = d.id LEFT JOIN f ON f.k = c.k WHERE change <> 'unchanged')
+SELECT change, id, pii_type, CASE WHEN change = 'modified' THEN concat_ws(', ', CASE WHEN coalesce(fsv, 'none') <> coalesce(csv, 'none') THEN 'severity: ' || coalesce(fsv, 'none') || ' -> ' || coalesce(csv, 'none') END,
+  CASE WHEN coalesce(CAST(fl AS VARCHAR), 'none') <> coalesce(CAST(cl AS VARCHAR), 'none') THEN 'line: ' || coalesce(CAST(fl AS VARCHAR), 'none') || ' -> ' || coalesce(CAST(cl AS VARCHAR), 'none') END,
+  CASE WHEN ff <> cf THEN 'data_flow: ' || CASE WHEN ff THEN 'none' ELSE 'present' END || ' -> ' || CASE WHEN cf THEN 'none' ELSE 'present' END END,
+  CASE WHEN fm <> cm THEN 'framework_mappings: ' || fm || ' mapping(s) -> ' || cm || ' mapping(s)' END,
+  CASE WHEN coalesce(fc, 'none') <> coalesce(cc, 'none') THEN 'confidence: ' || coalesce(fc, 'none') || ' -> ' || coalesce(cc, 'none') END) ELSE '' END AS changes
+FROM x ORDER BY CASE change WHEN 'added' THEN 1 WHEN 'modified' THEN 2 WHEN 'removed' THEN 3 ELSE 4 END, {_RANK} DESC, string_split(loc.file, '/') NULLS FIRST, loc.line NULLS FIRST, id LIMIT 50""",
     "order_keys": f"""SELECT id, {_RANK} AS severity_rank, replace(location.file, '/', '|') AS parts, location.line AS line FROM findings
 WHERE lower(trim(confidence)) IN ('medium', 'high')""",
     "diff_two_scans": _DIFF + "SELECT change, id, fields FROM d",

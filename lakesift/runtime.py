@@ -105,7 +105,7 @@ SPREAD_LIMIT = 1 << 30
 
 def plan_bytes(df: DataFrame) -> int:
     """Spark's estimate of the size of a plan's result (of a scan: the size of its files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(scan: DataFrame, *keys: str, tasks_per_core: int = 3) -> DataFrame:

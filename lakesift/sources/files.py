@@ -80,14 +80,25 @@ def staged(files: DataFrame, changed: DataFrame, path_col: str = "path") -> Data
     return hit.dropDuplicates([c for c in files.columns if c in ("file_id", path_col)]).drop("_suffix")
 
 
+METADATA = "struct<path:string,files_scanned:bigint,files_skipped:bigint,duration:bigint,frameworks:array<string>,tool_version:string>"
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"findings array<struct<{FINDING.replace(', ', ',').replace(' ', ':')}>>, metadata {METADATA}").json(path, multiLine=True)
+
+
 def saved_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a saved scan (JSON with ``findings`` and ``metadata``); a custom type stored as an object reads as its name."""
-    raw = spark.read.schema(f"findings array<struct<{FINDING.replace(', ', ',').replace(' ', ':')}>>, metadata string").json(path, multiLine=True)
-    out = raw.select(F.explode("findings").alias("f")).select("f.*")
+    """Findings of a saved scan (one JSON document with ``findings`` and ``metadata``, or a folder of them); a custom type stored as an object reads as its name."""
+    out = _documents(spark, path).select(F.explode("findings").alias("f")).select("f.*")
     name = F.when(F.col("pii_type").startswith("{"), F.get_json_object("pii_type", "$.custom")).otherwise(F.col("pii_type"))
     return out.withColumn("pii_type", name)
 
 
+def saved_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """What a saved scan says of itself, one row."""
+    return _documents(spark, path).select("metadata.*").limit(1)
+
+
 def event_lines(spark: SparkSession, path: str, schema: str = "event string, machine_id string, session_id string, timestamp bigint, properties map<string,string>") -> DataFrame:
     """Events, one JSON object a line; lines that do not parse are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

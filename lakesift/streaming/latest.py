@@ -1,4 +1,4 @@
-"""Streams: the latest text of each document, and daily totals with late data."""
+"""Streams: the latest text of each document, daily totals with late data, deliveries once each, and subscriptions merged batch by batch."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.operators.dashboard import latest_by
+from lakesift.operators.dashboard import Subscriptions, latest_by
+from lakesift.operators.delivery import SeenState, dedup_deliveries
 
 DOCUMENT = "uri string, version bigint, text string"
 
@@ -38,7 +39,20 @@ def daily_totals(scans: DataFrame, late: str = "3 days") -> DataFrame:
     )
 
 
-def distinct_deliveries(messages: DataFrame, late: str = "7 days") -> DataFrame:
-    """A stream of messages with each identifier once within the watermark."""
-    named = messages.withColumn("id", F.regexp_replace("id", r"(?U)^\s+|\s+$", "")).where("id is not null")
-    return named.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["id"])
+def distinct_deliveries(messages: DataFrame, state: SeenState, out: str, checkpoint: str, id_col: str = "id", order_col: str = "delivery_no"):  # noqa: ANN201
+    """Keep one delivery of each identifier of a stream, however late its copies come; those without an identifier all stay.
+
+    Each micro-batch is committed to ``state`` under its number, and its kept rows go to a folder of their own: a batch run again gets and writes what it did before.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept, _ = dedup_deliveries(batch, id_col, order_col, state, f"stream {number}")
+        kept.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_subscriptions(messages: DataFrame, table: Subscriptions, checkpoint: str):  # noqa: ANN201
+    """Merge a stream of billing messages into the table of current subscriptions, batch by batch, each once."""
+    each = lambda batch, number: table.load(batch, f"stream {number}")
+    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -239,6 +239,23 @@ def test_children_of_json(spark):
     )
 
 
+def test_children_however_wrapped(spark):
+    import json
+
+    flow = '{"source":"a","path":"[slug].tsx"}'
+    for _ in range(7):
+        flow = json.dumps(flow)
+    rows = [
+        ("1", flow, None, 1), ("2", '{"path":"{id}.ts","sink":"{x"}', None, 1), ("3", '{"path":["[a].ts","{b}",{"file":null},{}]}', None, 1), ("4", json.dumps('"'), None, 1), ("5", '{"path":"[1].tsx"}', None, 1),
+        ("6", '{"path":"[id]"}', None, 1),
+    ]
+    assert children(spark, rows) == sorted(
+        [("1", "flow_source", 0, "a"), ("1", "flow_path", 0, "[slug].tsx"), ("2", "flow_path", 0, "{id}.ts"), ("2", "flow_sink", 0, "{x"), ("3", "flow_path", 0, "[a].ts"), ("3", "flow_path", 1, "{b}"),
+         ("3", "flow_path", 2, None), ("3", "flow_path", 3, None), ("5", "flow_path", 0, "[1].tsx"), ("6", "flow_path", 0, "[id]")],
+        key=str,
+    )
+
+
 def test_children_repeats_empty_and_long(spark):
     rows = [("1", '{"source":"a"}', None, 1), ("1", '{"source":"a"}', None, 1)]
     assert children(spark, rows) == [("1", "flow_source", 0, "a")]

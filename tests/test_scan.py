@@ -16,7 +16,11 @@ from lakesift.functions.globs import glob_regex
 from lakesift.operators import baseline, dashboard, facts, flow, frameworks, graph, reports, suggest
 from lakesift.rules.dictionary import CONFIDENCE_RANK, DICTIONARY
 from lakesift.sources import files as src
-from lakesift.streaming.latest import daily_totals, latest_documents, scan_stream
+from lakesift.operators.delivery import SeenState
+from lakesift.rules.articles import ARTICLES
+from lakesift.rules.frameworks import RULES
+from lakesift.rules.literals import LITERALS, SAFE_NAMES
+from lakesift.streaming.latest import daily_totals, distinct_deliveries, latest_documents, merge_subscriptions, scan_stream
 
 TS = """import { apiKey } from './keys';
 export const userEmail = 'someone@mail.org';
@@ -321,13 +325,91 @@ def test_buckets(spark):
     assert got == ["0", "1-10", "11-50", "51-100", "101-500", "501-1000", "1000+", None]
 
 
-def test_saved_scans_and_events(spark, tmp_path):
+def test_saved_scans_and_events(spark, tmp_path, monkeypatch):
     (tmp_path / "s.json").write_text(json.dumps({"findings": [finding(), finding("2") | {"pii_type": {"custom": "badge"}}], "metadata": {}}))
     assert [r.pii_type for r in src.saved_scan(spark, str(tmp_path / "s.json")).orderBy("id").collect()] == ["email", "badge"]
     (tmp_path / "e.jsonl").write_text('{"event":"a","properties":{"n":"1"}}\nnot json\n')
     assert [r.event for r in src.event_lines(spark, str(tmp_path / "e.jsonl")).collect()] == ["a"]
     reports.save_scan(findings(spark, finding()), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+    many = findings(spark, *[finding(str(i), n=i % 3) for i in range(20)], finding("none", snippet=None))
+    monkeypatch.setattr(reports, "SET_SIZE", 4)
+    reports.save_scan(many, str(tmp_path / "many"), {"path": "p", "files_scanned": 3, "frameworks": ["gdpr", "ccpa"]})
+    back = src.saved_scan(spark, str(tmp_path / "many"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, many.collect()))
+    assert baseline.diff(many, back).where("change in ('added', 'removed')").count() == 0
+    about = src.saved_metadata(spark, str(tmp_path / "many")).first()
+    assert (about.path, about.files_scanned, about.frameworks, about.tool_version) == ("p", 3, ["gdpr", "ccpa"], None)
+    reports.save_scan(many.limit(0), str(tmp_path / "none"))
+    assert src.saved_scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rule_counts():
+    assert (len(DICTIONARY), sum(len(p) for *_, p in DICTIONARY), len(RULES), len(ARTICLES), len(LITERALS), len(SAFE_NAMES)) == (56, 112, 31, 32, 5, 34)
+
+
+def test_dictionary_lookup_equals_patterns(spark):
+    table = names.lookup([CustomType("badge", ["^x(y|z)?$", "badge.+no"])])
+    assert len(table.patterns) == 4 and table.names["xz"][0] == "badge" and table.names["user_email"][3] == "high"
+    assert names.spellings("^a.$") is None and names.spellings("^a|b$") is None and names.spellings("a") is None and names.spellings("^[ab]{2}$") == ["aa", "ab", "ba", "bb"]
+    df = spark.createDataFrame([(x,) for x in ("xY", "theBadge_No", "EMAILS", "Telephone", "clientIP", None, "")], "name string")
+    assert {r.name: r.pii_type for r in names.match_names(df, "name", [CustomType("badge", ["^x(y|z)?$", "badge.+no"])]).collect()} == {"xY": "badge", "theBadge_No": "badge", "EMAILS": "email", "clientIP": "ip_address"}
+
+
+def test_signed_payloads(spark):
+    import hashlib
+    import hmac
+
+    secret = "whsec_" + "k" * 80
+    mac = hmac.new(secret.encode(), b'1000.{"a":1}', hashlib.sha256).hexdigest()
+    rows = [('{"a":1}', f"t=1000,v1={mac}", True), ('{"a":1}', f"t=1000,v1={'0' * 64},v1={mac.upper()}", True), ('{"a":2}', f"t=1000,v1={mac}", False), ('{"a":1}', f"t=1,v1={mac}", False), ('{"a":1}', "v1=" + mac, False), (None, f"t=1000,v1={mac}", False), ("x", None, False)]
+    df = spark.createDataFrame(rows, "p string, h string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", dashboard.signed(F.col("p"), F.col("h"), secret, F.lit(1100)).alias("got")).collect())
+
+
+def test_owners_and_stored_findings(spark):
+    t = dt.datetime(2025, 1, 1)
+    users = spark.createDataFrame([("u1", "a", "owner", "x@y", t), ("u0", "a", "owner", "z@y", t + dt.timedelta(1)), ("u2", "a", "member", "m@y", t), ("u3", None, "owner", "n@y", t)], "id string, team_id string, role string, email string, created_at timestamp")
+    teams = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in dashboard.owners(teams, users).collect()] == [("a", "u1", "x@y")]
+    row = reports.stored_findings(findings(spark, finding(kind="database", n=1)), F.lit("s"), F.lit(t)).first()
+    assert json.loads(row.data_flow)["sink"]["kind"] == "database" and json.loads(row.framework_mappings)[0]["article"] == "A0" and (row.scan_id, row.file_path) == ("s", "a/b.ts")
+
+
+def test_diff_and_suggestion_lines(spark):
+    d = baseline.diff(findings(spark, finding(line=1)), findings(spark, finding(line=2), finding("2", t="phone")))
+    assert {(r.change, r.changes) for r in reports.diff_rows(d).collect()} == {("modified", "line: 1 -> 2"), ("added", "")}
+    assert {json.loads(r.entry)["kind"] for r in reports.diff_lines(d).collect()} == {"modified", "added"}
+    line = reports.suggestion_lines(suggest.suggest(findings(spark, finding(kind="log_output")))).first()
+    assert json.loads(line.suggestion)["replacement_line"].endswith("maskEmail(user.email))") and line.diff.startswith("--- a/")
+
+
+def test_reach_too_long_is_an_error(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "importer string, imported string")
+    with pytest.raises(RuntimeError):
+        graph.reach(e, spark.createDataFrame([("0",)], "start string"), "importer", "imported", [], max_rounds=3)
+
+
+def test_message_streams(spark, tmp_path):
+    schema = "delivery_no bigint, id string, event_type string, payload string, received_at timestamp"
+    body = '{"object":{"id":"sub","customer":"c","status":"%s"}}'
+    rows = [(1, "a", "x", body % "active", None), (2, "a ", "x", body % "canceled", None), (3, None, "x", None, None), (4, None, "x", None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    state = SeenState(spark, str(tmp_path / "seen"), 4)
+    kept = dashboard.Subscriptions(spark, str(tmp_path / "subs"))
+    for late in (None, [(90, "a", "x", None, None), (5, "b", "x", body % "trialing", None)]):
+        if late:
+            spark.createDataFrame(late, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        distinct_deliveries(stream, state, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
+        merge_subscriptions(stream, kept, str(tmp_path / "c2")).awaitTermination(120)
+    assert sorted(r.delivery_no for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 4, 5]
+    assert [(r.subscription, r.status, r.delivery_no) for r in kept.current().collect()] == [("sub", "trialing", 5)] and kept.version() == 2
+
+
+def test_latest_prefers_a_known_order(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("a", 1, "y"), ("b", None, "z")], "k string, n int, v string")
+    assert sorted(r.v for r in dashboard.latest_by(df, "k", F.col("n")).collect()) == ["y", "z"]
 
 
 def test_dashboard_edges(spark):
