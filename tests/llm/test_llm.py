@@ -336,6 +336,23 @@ def test_encoding_any_text(encoder, reference, texts):
     assert encoder.encode(texts).to_pylist() == reference(texts)
 
 
+@needs_vocabulary
+@pytest.mark.parametrize(("letters", "n"), [("etaoinshrdlu", 30_000), ("a", 70_001), ("ab", 5_000), ("日本語東京", 4_000), ("-", 9_999), ("ABCDEFGHabcdefgh", 20_000)])
+def test_encoding_long_words(encoder, reference, letters, n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice(letters) for _ in range(k)) for k in (n, 65, 300, 1000)]
+    start = time.process_time()
+    assert encoder.encode([*words, " ".join(words)]).to_pylist() == reference([*words, " ".join(words)])
+    assert time.process_time() - start < 30
+
+
+@needs_vocabulary
+@settings(max_examples=40, deadline=None, suppress_health_check=list(__import__("hypothesis").HealthCheck))
+@given(st.lists(st.sampled_from(["a", "b", "ab", "aaa", "in", "ing", "er", "tion", "e", "日", "é", "x"]), min_size=40, max_size=400).map("".join))
+def test_encoding_any_long_word(encoder, reference, word):
+    assert encoder.encode([word]).to_pylist() == reference([word])
+
+
 @needs_vocabulary
 def test_encoding_rows(spark, reference):
     df = spark.createDataFrame([(1, "hello world", "z"), (2, None, "z"), (3, "", "z"), (1, "hello world", "z")], "doc_id bigint, text string, ids string")
