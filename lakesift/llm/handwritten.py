@@ -1,41 +1,44 @@
 """Files that were not written by hand: generated, minified, third-party, or data stored as code.
 
-What a notice says is taken as said: a header that names a generator or a third-party library, a folder or file name that tools and
-package managers use for their output. Most such files carry no notice. For them a random forest (Spark ML) judges compression
-ratio, token entropy, identifier lengths, comment density and the like; it is trained on files whose notices label them, the notices
-(header comments, names, folders) being hidden from its features. Hand-written examples are files with the owner's own notice, files said to be
-maintained by hand, and tests.
+A random forest (Spark ML) judges every file by compression ratio, token entropy, identifier lengths, comment density and the like. It is trained on files
+that notices label: header comments that name a generator, and folder and file names that tools use for their output; all of these are hidden from its features. Hand-written
+examples are files with the owner's own notice, and tests.
 
-Third-party copies look like hand-written code, so the forest cannot tell them; an exact check follows it: a file named like a
-library (``<library>``, ``<library>_core``, ``<library>_compat``...) that notices or package folders elsewhere in the corpus name.
+Third-party code reads like hand-written code, and some generated files do too, so the forest cannot tell these (see the README for figures) and an exact check follows it: a file
+that a header or a package folder calls generated or third-party counts, and so does a copy of a third-party file elsewhere, told by content. Each run of three lines is hashed, of every ``WINDOW``
+neighbouring hashes the least is kept (so a copied stretch of ``WINDOW`` + 2 lines or more is never missed), and a file is a copy if ``COPY`` or more of its hashes stand in files
+known to be third-party. Files meet the known hashes by a join with a salt: no pairs of files are made, and a stretch that a third of all files hold spreads over ``SALTS`` tasks.
 
 Features come from one pass over whole files, as a map (``spread`` for small inputs), written to the shared folder without the sources.
-The forest is fitted on at most about ``MAX_TRAINING`` labelled files, drawn by the hash of their id; scoring covers every file, in the JVM. The list
-of library names is joined by size as Spark measures it.
+The forest is fitted on at most about ``MAX_TRAINING`` labelled files, drawn by the hash of their id; scoring covers every file, in the JVM.
 
 Defined cases: a null or blank source is no case. A null path counts as ''. Without labels of both kinds no forest is trained and
-only notices and names decide. Repeated rows give repeated rows.
+only notices decide. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions.globs import glob_regex
-from lakesift.runtime import materialise, spread
+from lakesift.runtime import materialise, plan_bytes, spread
 
+CONFIG_BYTES = 32 << 20
 MAX_TRAINING = 100_000
 SEED = 7
 #: Some generated files read as if written by hand; they pull the forest up to about 0.75 for hand-written code that no notice names.
 THRESHOLD = 0.78
+WINDOW, SALTS, COPY = 6, 16, 0.8
 #: Lines after the leading comments in which notices are looked for too (attributes, comments below a package line).
 HEADER_LINES = 14
 
@@ -43,14 +46,14 @@ HEADER_LINES = 14
 _LEAD = r"^[\s/*#;<!\"'-]*"
 GENERATED = re.compile(
     rf"(?im){_LEAD}(?:code generated by|this (?:file|code) (?:was|is|has been) (?:automatically |auto-?|machine-?)?(?:generated|produced)|"
-    r"<?auto-?generated(?:>| file| code| by)|@generated|machine-made|machine-generated|generated (?:from|by|code)\b|\S+ v?[\d.]+ output, source:)|"
+    r"<?auto-?generated(?:>| file| code| by)|@generated|machine-(?:made|generated)|generated (?:from|by|code)\b|\S+ v?[\d.]+ output, source:)|"
     r"^\s*\[?@?(?:[\w.]+\.)?Generated(?:Code)?\("
 )
 LIBRARY = re.compile(
     rf"(?im){_LEAD}(?:bundled copy of (\w+)|copied from (\w+) v?\d|vendored from (\w+)|@license (\w+) v?\d|this file is part of (\w+)\.|(\w+) v\d[\w.]*[ \t]*$)|"
     r"released under an? \w+ licen[cs]e|copyright (?:the )?(\w+) contributors"
 )
-OWN = re.compile(r"(?im)copyright \(c\) the [\w-]+ team|maintainers of this repository|maintained by hand|edited by hand|internal use only")
+OWN = re.compile(r"(?im)copyright \(c\) the [\w-]+ team|(?:maintained|edited|written) by hand|internal use only")
 PACKAGE_DIRS = re.compile(
     r"(?:^|/)(?:third[_-]?party|vendors?|external|externals|node_modules|bower_components|jspm_packages|site-packages|dist-packages|upstream|pods|carthage|godeps)/(?:@[\w-]+/)?([a-z]\w*)(?:-\d[\w.]*)?(?:[/.-]|$)"
 )
@@ -58,7 +61,6 @@ GENERATED_NAMES = re.compile(r"(?:^|/)(?:__generated__|generated-sources|generat
 MINIFIED_NAMES = re.compile(r"[.-](?:min|bundle|chunk)\.[a-z]+$|\.[0-9a-f]{8,}\.[a-z]+$")
 DATA_DIRS = re.compile(r"(?:^|/)(?:data|assets|fonts|sprites)/[^/]+$")
 TESTS = re.compile(r"(?:^|/)tests?/|\.(?:test|spec)\.\w+$|(?:^|/)test_[^/]+$|_test\.go$")
-COMMON_STEMS = {"index", "main", "core", "util", "utils", "lib", "src", "types", "helpers", "common", "app", "init", "__init__", "mod", "test"}
 
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
 _COMMENT = re.compile(r"/\*.*?\*/|(?<![:\"'])//[^\n]*|(?m:^|(?<=\s))#(?![!\[])[^\n]*|\"\"\".*?\"\"\"", re.S)
@@ -138,15 +140,24 @@ def notices(path: str, source: str) -> tuple[str | None, str | None, int | None]
     return None, None, 0 if TESTS.search(path) else None
 
 
-def stem(path: str) -> str:
-    """File name without extensions and without the suffixes of repackaged copies."""
-    name = path.rsplit("/", 1)[-1].split(".", 1)[0]
-    return re.sub(r"[_-](?:core|compat|bundle|min|dist|slim|all)$", "", name)
+def prints(source: str) -> list[int]:
+    """Hashes of runs of three lines (white space as one blank, empty lines and leading comments left out; none in a text of fewer lines), of each ``WINDOW`` neighbours the least."""
+    lines = [" ".join(x.split()) for x in _HEAD_COMMENT.sub("", source, count=1).split("\n")]
+    lines = [x for x in lines if x]
+    runs = [xxhash.xxh64_intdigest("\n".join(lines[i : i + 3])) >> 1 for i in range(len(lines) - 2)]
+    if not runs:
+        return []
+    return sorted({min(runs[i : i + WINDOW]) for i in range(max(1, len(runs) - WINDOW + 1))})
 
 
 def file_facts(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """One row per file with a source: notice, library, stem, label and features."""
+    """One row per file with a source: a number of its own, notice, label, features and prints.
+
+    ``configs`` has one row per repository; it is broadcast if Spark estimates it at ``CONFIG_BYTES`` or less.
+    """
     globs = configs.where("repository is not null").groupBy("repository").agg(F.first("exclude").alias("exclude"))
+    if plan_bytes(configs) <= CONFIG_BYTES:
+        globs = F.broadcast(globs)
     slim = spread(files.select("file_id", "repository", "path", "source"), "file_id").where("source is not null and trim(source) <> ''")
     joined = slim.join(globs, "repository", "left").select("file_id", "path", "source", "exclude")
 
@@ -159,16 +170,25 @@ def file_facts(files: DataFrame, configs: DataFrame) -> DataFrame:
                 if key not in compiled:
                     compiled[key] = re.compile("|".join(f"(?:{glob_regex(g)})" for g in key)) if key else None
                 p = normal_path(path)
-                notice, library, label = notices(p, source)
+                notice, _, label = notices(p, source)
                 hit = bool(compiled[key] and compiled[key].search(p))
-                for column, v in zip(out, (notice, library, stem(p), label, features(source, hit)), strict=True):
+                for column, v in zip(out, (uuid.uuid4().int >> 65, notice, label, features(source, hit), prints(source)), strict=True):
                     column.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()))
             arrays = [batch.column(0), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "notice", "library", "stem", "label", "features"])
+            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "row", "notice", "label", "features", "prints"])
 
     kind = slim.schema["file_id"].dataType.simpleString()
-    return joined.mapInArrow(read, f"file_id {kind}, notice string, library string, stem string, label int, features array<double>")
+    return joined.mapInArrow(read, f"file_id {kind}, row bigint, notice string, label int, features array<double>, prints array<bigint>")
+
+
+def with_copies(facts: DataFrame) -> DataFrame:
+    """``facts`` with ``copied``: whether ``COPY`` or more of a file's prints stand in files with a third-party notice."""
+    known = facts.where("notice = 'third_party'").select(F.explode("prints").alias("print")).distinct()
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = facts.where("notice is null").select("row", F.explode("prints").alias("print"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    hits = held.join(salted, ["print", "salt"]).groupBy("row").agg(F.count("*").alias("hits"))
+    return facts.join(hits, "row", "left").withColumn("copied", F.coalesce(F.col("hits") >= COPY * F.size("prints"), F.lit(False))).drop("hits", "prints", "row")
 
 
 def train(facts: DataFrame, trees: int = 40, depth: int = 8):  # noqa: ANN201
@@ -190,13 +210,10 @@ def train(facts: DataFrame, trees: int = 40, depth: int = 8):  # noqa: ANN201
 
 
 def judged(files: DataFrame, configs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, notice, probability, named_like_library, by_hand) of every file with a source."""
+    """(file_id, notice, probability, copied, by_hand) of every file with a source; the forest scores every file."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    facts = materialise(file_facts(files, configs), "file-facts")
-    known = (
-        facts.where("library is not null").select(F.lower("library").alias("stem")).distinct().where(~F.col("stem").isin(*COMMON_STEMS) & (F.length("stem") > 3))
-    )
+    facts = materialise(with_copies(materialise(file_facts(files, configs), "file-prints")), "file-facts")
     model = train(facts)
     scored = facts.withColumn("vector", array_to_vector("features"))
     if model is None:
@@ -204,12 +221,8 @@ def judged(files: DataFrame, configs: DataFrame, threshold: float = THRESHOLD) -
     else:
         model.setFeaturesCol("vector").setProbabilityCol("probability")
         scored = model.transform(scored).withColumn("p", vector_to_array("probability")[1])
-    marked = scored.select("file_id", "notice", "p", "stem").join(known.withColumn("named", F.lit(True)), "stem", "left")
-    named = F.coalesce("named", F.lit(False))
-    return marked.select(
-        "file_id", "notice", F.col("p").alias("probability"), named.alias("named_like_library"),
-        (F.col("notice").isNull() & ~named & (F.col("p") < threshold)).alias("by_hand"),
-    )
+    by_hand = (F.col("p") < threshold) & F.col("notice").isNull() & ~F.col("copied")
+    return scored.select("file_id", "notice", F.col("p").alias("probability"), "copied", by_hand.alias("by_hand"))
 
 
 def not_by_hand(files: DataFrame, configs: DataFrame) -> DataFrame:
