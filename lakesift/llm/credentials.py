@@ -65,6 +65,8 @@ LITERAL = re.compile(
     r"'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>(?:[^`\\]|\\.)*)`",
     re.S,
 )
+# Comments are cut off first: a quote or tick in one opens no literal beyond it; what is quoted inside counts.
+TOKEN = re.compile(r"(?P<comment>//[^\n]*|#[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))|" + LITERAL.pattern, re.S)
 USERINFO = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*://[^\s:/@\"'`]*:(?P<v>[^\s@/\"'`]+)@")
 PARAM = re.compile(r"[?&](?P<k>[\w.-]+)=(?P<v>[^&#\s\"'`]+)")
 PAIR = re.compile(r"(?:^|;)\s*(?P<k>[A-Za-z][\w .-]*?)\s*=\s*(?P<v>[^;\"']+)")
@@ -92,6 +94,7 @@ HELD_IN = re.compile(r"(?:self|this|req|request|config|conf|settings|env|os|proc
 CALL_WORDS = ("login", "connect", "auth", "credential", "client", "open", "signin", "session", "account", "smtp", "ftp", "bind")
 CALL = re.compile("(?i)" + "|".join(CALL_WORDS))
 BRACKET = re.compile(r"[()]")
+INNER = re.compile(r"""\\(?:u\{[0-9a-fA-F]+\}|u+[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{1,4}|N\{[^}]*\}|[0-7]{1,3})|(?P<kept>\\[abfnrtv\\'"`$\n]|\s)|\\.|.""", re.S)
 VALUE_AFTER = re.compile(r"\s+value\s*=")
 CLOSED_AFTER = re.compile(r"\s*[)\]]")
 
@@ -206,7 +209,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     for a, b in _commands(text):
         if not stands_in(text[a:b]):
             add(a, b)
-    literals = list(LITERAL.finditer(text))
+    literals = list(_read_literals(text))
     quoted = bytearray(len(text))
     for m in literals:
         quoted[m.start() : m.end()] = b"\1" * (m.end() - m.start())
@@ -233,6 +236,15 @@ def spans(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _read_literals(text: str) -> Iterator[re.Match]:
+    """The string literals of a snippet in order, in code and in comments."""
+    for m in TOKEN.finditer(text):
+        if m["comment"] is None:
+            yield LITERAL.match(text, m.start())
+        else:
+            yield from LITERAL.finditer(text, m.start(), m.end())
+
+
 def _commands(text: str) -> Iterator[tuple[int, int]]:
     """Places of passwords on command lines: one scan that keeps the command words read since the line began."""
     running: set[str] = set()
@@ -345,13 +357,16 @@ def _literals(text: str, literals: list[re.Match], add, free) -> None:
 
 
 def masked(text: str | None, mark: str = "*") -> str | None:
-    """The snippet with every credential's characters replaced by ``mark``, line breaks and escapes kept, all else as it was."""
+    """The snippet with every credential's characters replaced by ``mark``, all else as it was.
+
+    White space, line breaks and plain escapes (``\\n``, ``\\"``) stay; an escape that spells a character of the credential is masked whole, so none is left broken.
+    """
     if not text:
         return text
     out, at = [], 0
     for a, b in spans(text):
         out.append(text[at:a])
-        out.append(re.sub(r"(\\.|\s)|.", lambda m: m[1] or mark, text[a:b], flags=re.S))
+        out.append(INNER.sub(lambda m: m["kept"] or mark * len(m[0]), text[a:b]))
         at = b
     return "".join(out) + text[at:]
 

@@ -163,6 +163,20 @@ def test_masking_changes_nothing_else(noise, core):
     assert all(inside[i] or out[i] == text[i] for i in range(len(text)))
 
 
+@pytest.mark.parametrize(
+    ("language", "source", "hidden"),
+    [
+        ("python", 'password = "p\\u00e4ss1!x\\x41\\101z"\n', "u00e4"), ("javascript", "const password = 'q\\u{1F600}9!mQ\\x7a2'\n", "1F600"), ("java", 'class A { String password = "k\\u0041ss9!\\t\\"m2"; }\n', "0041"),
+        ("csharp", 'class A { string password = "k\\U0001F600ss9!\\x41m2"; }\n', "0001F600"), ("go", 'package a\nvar password = "k\\U0001F600s9!\\x41\\101m2"\n', "0001F600"),
+        ("python", 'a = 1  # don\'t `\npassword = "h7!kQz91"\nb = "it\'s"\n', "h7!"), ("javascript", "f() // a `tick\nconst password = 'h7!kQz91'\n", "h7!"),
+    ],
+)
+def test_masked_code_still_parses(language, source, hidden):
+    assert first_fault(source, language) is None
+    out = credentials.masked(source)
+    assert out != source and len(out) == len(source) and hidden not in out and first_fault(out, language) is None
+
+
 def test_redacted_covers_both_tables(spark, sf):
     got = {r.source_table: r.n for r in registry.QUERIES["p5_redacted"](spark, sf).groupBy("source_table").agg(F.count("*").alias("n")).collect()}
     assert got == {name: table(spark, sf, name).count() for name in ("findings", "scan_findings")}
@@ -296,12 +310,26 @@ def test_forest_on_held_out_files(spark):
     assert handwritten.not_by_hand(files.limit(0), configs).count() == 0
 
 
-def test_library_names(spark):
-    own = "import os\n\ndef load_value(reader):\n    return reader.value\n"
-    rows = [(1, "r", "vendor/quicklib/src/quicklib.py", own), (2, "q", "src/util/quicklib_core.py", own), (3, "q", "src/util/mine.py", own)]
-    files = spark.createDataFrame(rows, "file_id bigint, repository string, path string, source string")
+def test_copies_are_told_by_content(spark):
+    rng = random.Random(4)
+    line = lambda: f"    {rng.choice('abcdef')}{rng.randint(1, 9999)} = call{rng.randint(1, 9999)}({rng.randint(1, 9999)})"
+    library = ["import os", "", "def go(x):", *[line() for _ in range(120)]]
+    patched = library[:50] + [line() for _ in range(4)] + library[50:]
+    half = library[:60] + [line() for _ in range(60)]
+    rows = [(1, "r", "vendor/quicklib/src/quicklib.py", library), (2, "q", "src/util/helper.py", patched), (3, "q", "src/util/quicklib_core.py", half), (4, None, "a.py", [line() for _ in range(100)]), (5, "q", "e.py", ["# note", ""]), (2, "q", "src/util/helper.py", patched)]
+    files = spark.createDataFrame([(i, r, p, "\n".join(s)) for i, r, p, s in rows], "file_id bigint, repository string, path string, source string")
     configs = spark.createDataFrame([], "repository string, exclude array<string>")
-    assert sorted(r.file_id for r in handwritten.not_by_hand(files, configs).collect()) == [1, 2]
+    judged = {(r.file_id, r.notice, r.copied, r.by_hand) for r in handwritten.judged(files, configs).collect()}
+    assert judged == {(1, "third_party", False, False), (2, None, True, False), (3, None, False, True), (4, None, False, True), (5, None, False, True)}
+    assert sorted(r.file_id for r in handwritten.not_by_hand(files, configs).collect()) == [1, 2, 2]
+
+
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(0, 20))
+def test_prints_meet_on_any_copied_stretch(noise, at):
+    stretch = [f"line {i}" for i in range(handwritten.WINDOW + 2)]
+    around = [f"other {n} {i}" for i, n in enumerate(noise)]
+    assert set(handwritten.prints("\n".join(stretch))) & set(handwritten.prints("\n".join(["head"] + around[:at] + stretch + around[at:])))
+    assert handwritten.prints("a\n\n b ") == []
 
 
 # Tokens ------------------------------------------------------------------------------------------------------------------
