@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from dataclasses import dataclass
 from functools import cache
 
-from lakesift.llm.parsing import grammars, lr
+from lakesift.llm.parsing import grammars, lr, python
 from lakesift.llm.parsing.lexers import LexError, Lexer, languages
 
 # The language of each extension.
@@ -28,8 +26,11 @@ class Fault:
 
 
 @cache
-def parser(language: str) -> tuple[Lexer, lr.Tables]:
+def parser(language: str) -> tuple[Lexer | python.PythonLexer, lr.Tables]:
     """Lexer and tables of a language, built once per process."""
+    if language == "python":
+        tables = lr.build(python.GRAMMAR, python.CONTEXTUAL)
+        return python.PythonLexer(tables), tables
     text, contextual = {
         "javascript": (grammars.JAVASCRIPT, grammars.JS_CONTEXTUAL),
         "typescript": (grammars.TYPESCRIPT, grammars.TS_CONTEXTUAL),
@@ -52,18 +53,6 @@ def _at(text: str, offset: int, what: str) -> Fault:
     return Fault(line, offset - text.rfind("\n", 0, offset), what)
 
 
-def _python(source: str) -> Fault | None:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            compile(source, "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-    except SyntaxError as e:
-        return Fault(e.lineno or 1, e.offset or 1, e.msg or "invalid syntax")
-    except (ValueError, RecursionError, MemoryError) as e:
-        return Fault(1, 1, str(e) or type(e).__name__)
-    return None
-
-
 def _return_outside(tables: lr.Tables, tokens: list) -> int | None:
     """Index of a ``return`` outside all braces: scripts allow it in functions only."""
     opening, closing, word = (tables.terminals[f"'{t}'"] for t in ("{", "}", "return"))
@@ -81,8 +70,6 @@ def _return_outside(tables: lr.Tables, tokens: list) -> int | None:
 
 def first_fault(source: str, language: str) -> Fault | None:
     """The first fault of a source in a language, or None if it is valid."""
-    if language == "python":
-        return _python(source)
     text = source.replace("\r\n", "\n").replace("\r", "\n")
     lexer, tables = parser(language)
     try:

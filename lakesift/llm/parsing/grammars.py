@@ -197,11 +197,12 @@ JAVA_KEYWORDS = (
     "instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void "
     "volatile while true false null"
 ).split()
-JAVA_CONTEXTUAL = {"record", "var", "yield", "sealed", "permits", "non", "when", "module", "open", "requires", "exports", "opens", "uses", "provides", "to", "with", "transitive"}
+JAVA_CONTEXTUAL = {"record", "var", "yield", "sealed", "permits", "non", "when", "module", "open", "requires", "exports", "opens", "uses", "provides", "to", "with", "transitive", "_"}
 JAVA = """
-Unit : Package? Import* TypeDecl* ;
+Unit : Package? Import* TypeDecl* | Import* Annotation* 'open'? 'module' QName '{' Directive* '}' ;
+Directive : 'requires' ('transitive' | 'static')* QName ';' | ('exports' | 'opens') QName ('to' (QName % ','))? ';' | 'uses' QName ';' | 'provides' QName 'with' (QName % ',') ';' ;
 Package : Annotation* 'package' QName ';' ;
-Import : 'import' 'static'? QName ('.' '*')? ';' | ';' ;
+Import : 'import' 'static'? QName ('.' '*')? ';' | 'import' 'module' QName ';' | ';' ;
 QName : NAME | QName '.' NAME ;
 Annotation : '@' QName AnnoArgs? ;
 AnnoArgs : '(' ((AnnoArg % ',') ','?)? ')' ;
@@ -251,7 +252,7 @@ Group : Label ':' BlockStmt* ;
 Rule : Label '->' (Expr ';' | Block | 'throw' Expr ';') ;
 Label : 'case' (CaseItem % ',') ('when' Expr)? | 'default' ;
 CaseItem : Cond | Pattern | 'default' ;
-Pattern : Modifier* Type NAME | Modifier* Type '(' (Pattern % ',')? ')' NAME? ;
+Pattern : '_' | Modifier* Type NAME | Modifier* Type '(' (Pattern % ',')? ')' NAME? ;
 StmtExpr : Unary AssignOp Expr | ('++' | '--') Unary | Postfix ('++' | '--') | CallLike ;
 CallLike : Postfix '.' TypeArgs? NAME Args | NAME Args | ('this' | 'super') Args | Postfix '.' 'super' Args | New ;
 Expr : Cond | Unary AssignOp Expr | Lambda ;

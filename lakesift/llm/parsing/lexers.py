@@ -27,7 +27,7 @@ def _ops(text: str) -> str:
     return "|".join(re.escape(o) for o in sorted(text.split(), key=len, reverse=True))
 
 
-_JS_OPS = _ops("{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ?. ? : = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => . ... @")
+_JS_OPS = _ops("{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ?. ? : = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => . ... @").replace(r"\?\.", r"\?\.(?!\d)")  # before a digit it is a question mark and a number
 _GO_OPS = _ops("+ & += &= && == != ( ) - | -= |= || < <= [ ] * ^ *= ^= <- > >= { } / << /= <<= ++ = := , ; % >> %= >>= -- ! ... . : &^ &^= ~")
 _JAVA_OPS = _ops("( ) { } [ ] ; , . ... @ :: = > < ! ~ ? : -> == <= >= != && || ++ -- + - * / & | ^ % << += -= *= /= &= |= ^= %= <<=")
 _CS_OPS = _ops("{ } [ ] ( ) . .. , : :: ; + - * / % & | ^ ! ~ = < > ? ?? ??= ++ -- && || -> == != <= >= += -= *= /= %= &= |= ^= << <<= =>")
@@ -89,7 +89,7 @@ class Lexer:
         for t, n in term.items():
             if t.startswith("'"):
                 w = t[1:-1]
-                if w[:1].isalpha():
+                if w[:1].isalpha() or w == "_":
                     kinds[w] = (n, *self.names) if w in tables.contextual else (n,)
                 else:
                     kinds[w] = (n,)
@@ -155,7 +155,7 @@ class Lexer:
                     self.last = "value"
                 else:
                     k = kinds.get(w)
-                    if k is None or not w[:1].isalpha():
+                    if k is None or not (w[:1].isalpha() or w == "_"):
                         out.append((names, at, fresh))
                         self.last = "value"
                     else:

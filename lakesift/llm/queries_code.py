@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesift.llm.credentials import credentials, redact
 from lakesift.llm.handwritten import judged, not_by_hand
-from lakesift.llm.syntax import invalid_files, rates
+from lakesift.llm.syntax import invalid_files, rates, verdicts
 from lakesift.runtime import table
 
 
@@ -21,6 +21,12 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates(table(spark, sf, "parsed_files"))
 
 
+def p4_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fault of every file that is not valid."""
+    found = verdicts(table(spark, sf, "parsed_files")).where("not valid")
+    return found.select("file_id", "repository", "language", "line", "column", "message")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Credentials written out in snippets of both finding tables."""
     parts = []
@@ -52,5 +58,5 @@ def p7_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return sides.groupBy(extension).agg(F.count("*").alias("files"), F.count_if("by_hand").alias("by_hand"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p5_found, p5_redacted, p7_found, p7_by_language)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p4_faults, p5_found, p5_redacted, p7_found, p7_by_language)}
 SQL: dict[str, str] = {}

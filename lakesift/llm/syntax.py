@@ -1,8 +1,7 @@
 """Source files that do not parse in the language their extension stands for.
 
-Every file is cut into tokens and parsed whole: TypeScript, JavaScript, Go, Java and C# by generalised LR parsing with tables built from the
-grammars in ``parsing`` (see there), Python by the grammar-generated parser of the running interpreter. The first token that no
-reading of the file can take is reported. Stored warnings come along for comparison but decide nothing: they are neither complete nor right.
+Every file is cut into tokens and parsed whole, by generalised LR parsing with tables built from the grammars of the six languages in ``parsing`` (see there).
+The first token that no reading of the file can take is reported. Stored warnings come along for comparison but decide nothing: they are neither complete nor right.
 
 One map over the files in Arrow batches, without a shuffle (but ``spread`` for small inputs); rates are a partial aggregate. Tables are built
 once per Python worker, in about a second. Parsing takes time in proportion to the tokens.

@@ -40,13 +40,18 @@ VALID = {
         "const m = new Map<string, Array<Map<string, number>>>()\nfoo<string>(m)\n", "@dec() export class D { @Input() name!: string }\n", "interface I { (a: number): string; new (b: string): I; readonly c?: number, m?(x: any): void }\n",
         "const o = { async *g() {}, get x() { return 1 }, [k]: 2, 'a-b': 3, ...rest, default: 4, type: 5 } satisfies T\n", "const e = <div className=\"a\">{x.map(i => <b key={i}>{i}</b>)}<br/></div>;\n",
     ],
-    "javascript": ["a\nb\n++c\n", "var x = function () { return }\n", "if (a) b; else c\n", "x?.y?.[0]?.(z) ?? w\n", "do x(); while (y) z()\n", "#!/usr/bin/env node\nimport x, * as y from 'z'\nexport * as q from 'r'\n", "({ a, b: [c] } = d)\n",
+    "javascript": ["a\nb\n++c\n", "var x = function () { return }\n", "if (a) b; else c\n", "x?.y?.[0]?.(z) ?? w\n", "a = x?.5:1\n", "do x(); while (y) z()\n", "#!/usr/bin/env node\nimport x, * as y from 'z'\nexport * as q from 'r'\n", "({ a, b: [c] } = d)\n",
                    "switch (x) { case 1: case 2: y(); break; default: }\n", "let async; async = 1; of = 2\n", "a = b\n/c/g.exec(d)\n", "try { x() } catch { y() } finally {}\n"],
-    "python": ["", "def f(x, /, *, y: int = 1) -> str: ...\n", "match x:\n    case [1, *_] if y: pass\n", "with (open(a) as b, c): pass\n", "print(f'{x!r:>{w}}')\n", "type A[T] = list[T]\n"],
+    "python": [
+        "async def f():\n\tasync with a as b, c:\n\t\tawait d\n\treturn [x async for x in y if not x]\n", "@a.b(c)\nclass A[T: int](B, *c, metaclass=D, **e):\n    x: int = 1; y = z = yield_\n    def f(self, *a: *T, k=1, **kw): pass\n",
+        "try:\n    pass\nexcept* (A, B) as e:\n    raise C from e\nelse: x\nfinally:\n    del a[0], b.c\n", "match a, *b:\n    case {'k': -1+2j, **r} | C(x, y=[_, *z]) as w if w: pass\n    case (1 | 2): pass\nmatch = case = type = 1\nmatch(x)\n",
+        "f'{a!r:>{b}}{{}}{c = }{\"d\"}' rf'\\{x:%Y}' 'e'\n", "x = 1if a else 0x_f\nif x:\n  # c\n\n  y\n\\\n  z\n", "(yield)\na[b:c, ::d, *e] = *f, g = h @ i\nprint(*a, b=1, *c, **d)\nlambda x, /, y=1, *, z: (x := y)\n", "\tx = 1\n\ty = 2\n"[1:].replace("\t", ""),
+        "", "def f(x, /, *, y: int = 1) -> str: ...\n", "match x:\n    case [1, *_] if y: pass\n", "with (open(a) as b, c): pass\n", "print(f'{x!r:>{w}}')\n", "type A[T] = list[T]\n",
+    ],
     "go": ["package a\n", "package a\n\nfunc F[T any](x []T) (y int, err error) { for i := range x { _ = i }; return }\n", "package a\nvar x = map[string][]int{\"a\": {1, 2}}\nconst (\n A = iota\n B\n)\n",
            "package a\nfunc f() { if x := (T{1}); x.y > 0 { go func() {}() } else if z { defer g() }; switch v := y.(type) { case int, string: default: } }\n", "package a\ntype S struct { *B; C `json:\"c\"`; D, E int }\ntype I interface { M(int) error; ~int | string }\n",
            "package a\nfunc f() { select { case v, ok := <-c: _ = v; case c <- 1: default: }; x = a[1:2:3]; L: for { break L } }\n"],
-    "java": ["", "package a;\nimport java.util.*;\n@A(x = 1) public final class B<T extends C & D> extends E<T> implements F { static { } int[] a = {1, 2}; B(int... x) { this.<T>f(); } }\n",
+    "java": ["@A open module a.b { requires transitive c; exports d to e, f; opens g; uses h; provides i with j, k; }\n", "import module java.base;\nclass A { int f(Object o) { return switch (o) { case P(int x, _) -> x; case B _ -> 1; default -> 0; }; } }\n", "", "package a;\nimport java.util.*;\n@A(x = 1) public final class B<T extends C & D> extends E<T> implements F { static { } int[] a = {1, 2}; B(int... x) { this.<T>f(); } }\n",
              "record P(int x, String y) { P { if (x < 0) throw new E(); } }\nsealed interface S permits A, B { }\n", "class A { int f(Object o) { return switch (o) { case Integer i when i > 0 -> i; case P(int x, var y) -> x; default -> { yield 1; } }; } }\n",
              "class A { void f() { var l = new ArrayList<Map<String, int[]>>(); l.forEach((a, b) -> { }); Runnable r = A::new; String s = \"\"\"\n  x\n  \"\"\"; for (final var x : l) ; try (var c = d(); e) { } catch (F | G h) { } } }\n",
              "enum E { A(1) { void f() { } }, B; private E(int... x) { } }\n", "class A { int x = (int) y + (z) - 1; boolean b = a < c && d > e; Object o = (Runnable & S) () -> { }; }\n"],
@@ -58,7 +63,8 @@ VALID = {
 INVALID = {
     "typescript": ["const = 1\n", "function f( {\n", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n", "}\n", "const s = 'open\n", "let a: = 1\n", "package a\n", "return 1\n", "class { x }\nfoo(\n", "`open ${a\n", "interface A { x: }\n", "a b\n", "# title\n"],
     "javascript": ["let x: number = 1\n", "interface A {}\n", "const f = (a?: b) => c\n", "import logging\n", "x = (\n", "if (a {\n", "[1, 2\n", "return x\n", "private x = 1;\n"],
-    "python": ["def f(:\n", "if x:\n", "  x = 1\n", "'''open\n", "print 'x'\n", "const x = 1;\n", "x = (\n"],
+    "python": ["f(a=1, b)\n", "def f(a=1, b): pass\n", "if x:\n\ty\n        z\n", "if x:\n    y\n  z\n", "f'{}'\n", "f'}'\n", "f'{a b}'\n", "'\\x4'\n", "b'\u00e9'\n", "a' b'\n", "012\n", "1x\n", "x = (\n]", "f() = 1\n", "a + b += 1\n", "except A, B:\n", "try:\n  x\nexcept A, e:\n  y\n", "a == not b\n",
+               "import a.b as c.d\n", "from x import a,\n", "class A(x for x in y): pass\n", "print x\n", "x := 1\n", "a if b\n", "x = 1 \\", "\0", "'a' b'b'\n", "def f(*): pass\n", "lambda x=1, y: 0\n", "match x:\n    pass\n", "def f(:\n", "if x:\n", "  x = 1\n", "'''open\n", "print 'x'\n", "const x = 1;\n", "x = (\n"],
     "go": ["", "package\n", "package a\nfunc f() { x := }\n", "package a\nfunc f() {\n", "import \"x\"\n", "package a\nx = 1\n", "package a\nfunc f() { if x { }\nelse { } }\n", "package a\nvar s = \"open\n"],
     "java": ["class A {", "class A { int x = ; }\n", "using System;\n", "class A { void f() { x } }\n", "package a\n", "class A { String s = \"open; }\n", "}\n", "class A { f(); int }\n"],
     "csharp": ["class A {", "namespace A { class B { int x = ; } }\n", "import { a } from 'b';\n", "class A { void F( { } }\n", "class A { string s = \"open; }\n", "}\n", "import java.util.List;\n", "class A { int P { get set; } }\n"],
@@ -99,6 +105,41 @@ def test_long_and_deep_sources(language):
     assert first_fault(pad + "(" * 3000, language) is not None
 
 
+def interpreter_takes(source):
+    import ast
+    import warnings
+
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(source, "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+        return True
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+
+
+@pytest.mark.parametrize("part", range(4))
+def test_python_grammar_against_the_interpreter(part):
+    """Modules of the standard library, whole and with a place cut, dropped, added or moved."""
+    import glob
+    import sys
+    import sysconfig
+
+    if sys.version_info[:2] != (3, 13):
+        pytest.skip("the grammar is that of 3.13")
+    rng = random.Random(part)
+    paths = rng.sample(sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py")), 12)
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            whole = f.read()[:12_000]
+        texts = [whole]
+        for _ in range(4):
+            i = rng.randrange(len(whole))
+            texts += [whole[:i], whole[:i] + whole[i + 1 :], whole[:i] + rng.choice("()[]{}:,=\"'#\\\n \t.*@!f") + whole[i:], whole[:i].rstrip(" ") + whole[i:]]
+        for text in texts:
+            assert (first_fault(text, "python") is None) == interpreter_takes(text), (path, first_fault(text, "python"))
+
+
 def test_truncation_is_noticed():
     source = VALID["typescript"][5] + "export function f(a: number) {\n  return { a, b: [1, 2], c: `x ${a}` };\n}\n"
     body = source.rstrip()
