@@ -29,6 +29,8 @@ class Tables:
     heads: list[int]
     accept: int = 0
     contextual: frozenset[str] = field(default_factory=frozenset)
+    #: what ``_after_units`` gave before
+    units: dict[tuple[int, int, int], int] = field(default_factory=dict)
 
 
 def _read(text: str) -> dict[str, list[list]]:
@@ -231,30 +233,52 @@ def build(text: str, contextual: frozenset[str] | set[str] = frozenset()) -> Tab
     return Tables(term, frozen, gotos, lengths, heads, 0, frozenset(contextual))
 
 
+def _after_units(tables: Tables, below: int, state: int, kind: int) -> int:
+    """The state that is reached from ``state``, on top of ``below``, by the reductions of one symbol to another that ``kind`` alone decides."""
+    while True:
+        acts = tables.actions[state].get(kind)
+        if acts is None or len(acts) > 1 or acts[0] >= -1 or tables.lengths[~acts[0]] != 1:
+            return state
+        state = tables.gotos[below][tables.heads[~acts[0]]]
+
+
 def feed(tables: Tables, tops: list, kinds: tuple[int, ...]) -> tuple[list, bool]:
     """The stacks after one token (any of ``kinds``), and whether the input may end here."""
     actions, gotos, lengths, heads = tables.actions, tables.gotos, tables.lengths, tables.heads
-    if len(tops) == 1 and len(kinds) == 1:
-        # One stack, one reading: follow it as long as there is one action.
-        node, kind = tops[0], kinds[0]
-        while True:
-            acts = actions[node[0]].get(kind)
-            if acts is None:
-                return [], False
-            if len(acts) > 1:
-                tops = [node]
-                break
-            a = acts[0]
-            if a >= 0:
-                return [(a, node)], False
-            if a == -1:
-                return [], True
-            p = ~a
-            n = lengths[p]
-            while n:
-                node = node[1]
-                n -= 1
-            node = (gotos[node[0]][heads[p]], node)
+    if len(tops) == 1:
+        node = tops[0]
+        if len(kinds) > 1:
+            here = actions[node[0]]
+            kinds = tuple(k for k in kinds if k in here)  # readings that the only stack cannot take
+        if len(kinds) == 1:
+            # One stack, one reading: follow it as long as there is one action.
+            kind, units = kinds[0], tables.units
+            while True:
+                acts = actions[node[0]].get(kind)
+                if acts is None:
+                    return [], False
+                if len(acts) > 1:
+                    tops = [node]
+                    break
+                a = acts[0]
+                if a >= 0:
+                    return [(a, node)], False
+                if a == -1:
+                    return [], True
+                p = ~a
+                n = lengths[p]
+                if n == 1:  # expressions climb many rules of one symbol: the way is looked up
+                    below = node[1]
+                    key = (below[0], node[0], kind)
+                    state = units.get(key)
+                    if state is None:
+                        state = units[key] = _after_units(tables, *key)
+                    node = (state, below)
+                    continue
+                while n:
+                    node = node[1]
+                    n -= 1
+                node = (gotos[node[0]][heads[p]], node)
     shifted: dict[tuple[int, int], tuple] = {}
     ended = False
     for kind in kinds:
@@ -262,7 +286,21 @@ def feed(tables: Tables, tops: list, kinds: tuple[int, ...]) -> tuple[list, bool
         work = list(tops)
         while work:
             node = work.pop()
-            for a in actions[node[0]].get(kind, ()):
+            acts = actions[node[0]].get(kind)
+            if acts is None:
+                continue
+            if len(acts) == 1 and acts[0] < -1 and lengths[~acts[0]] == 1:
+                below = node[1]
+                way = (below[0], node[0], kind)
+                state = tables.units.get(way)
+                if state is None:
+                    state = tables.units[way] = _after_units(tables, *way)
+                key = (state, id(below))
+                if key not in seen:
+                    seen[key] = new = (state, below)
+                    work.append(new)
+                continue
+            for a in acts:
                 if a >= 0:
                     shifted[(a, id(node))] = (a, node)
                 elif a == -1:
