@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.bpe import WORDS, default_path
+from lakesift.llm.bpe import VOCABULARY_LIMIT, WORDS, default_path
 from lakesift.runtime import materialise, ship_package, spread
 
 MAX_SOURCES = 10_000
@@ -48,6 +49,8 @@ def token_counts(docs: DataFrame, text_col: str, path: str | None = None) -> Dat
     """``docs`` with its text replaced by ``tokens``, the number of tokens of the public byte-level tokenizer (0 for null)."""
     ship_package(docs.sparkSession)
     path = path or default_path().replace(".json", ".tiktoken")
+    if os.path.getsize(path) > VOCABULARY_LIMIT:
+        raise ValueError(f"{path} is larger than {VOCABULARY_LIMIT} bytes, too large to broadcast")
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     cache: dict[str, object] = {}
