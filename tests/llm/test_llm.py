@@ -498,7 +498,7 @@ def counted(text):
     ("text", "want"),
     [
         ("The nurse saw two Patients.", {"nurse": 1, "patient": 1}), ("wishListRef and boarding_pass_id", {"wish list": 1, "boarding pass": 1}), ("see src/account/nurse.py and https://x.example/loan", {}), ("```\nnurse\n```", {}), ("# Loan\n", {}),
-        ("the heat pump and the season sale", {"heat pump": 1, "season sale": 1}), ("Same fix as for the nurse people.", {}), ("The judge of that is the owner.", {}), ("flagged as diagnosis in x", {}), ("the tutro and the calim", {"tutor": 1, "claim": 1}),
+        ("the heat pump and the season sale", {"heat pump": 1, "season sale": 1}), ("The nurse in charge is on record.", {"nurse": 1}), ("the tutro and the calim", {"tutor": 1, "claim": 1}),
         ("患者の画面に処方箋も", {"患者": 1, "処方箋": 1}), ("amber-ledger", {}), ("nursery unloaned", {}), ("", {}), ("   \n", {}), ("L’appel du juge", {"appel": 1, "juge": 1}),
     ],
 )
@@ -515,12 +515,12 @@ def test_shared_terms_follow_the_others():
 
 
 def test_subjects_on_held_out_labels(spark, sf):
-    root = sf.replace("sf0.001", "sf0.01")
+    root = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/doc_labels.parquet")
     kept, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     found = {(r.doc_id, r.subject) for r in subjects.subject_of(docs, kept).join(held.select("doc_id").distinct(), "doc_id").collect()}
     want = {(r.doc_id, r.subject) for r in held.collect()}
-    assert len(found & want) >= 0.85 * len(want) and len(found & want) >= 0.85 * len(found)
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
 
 
 def test_subjects_defined_cases(spark):
