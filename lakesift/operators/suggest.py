@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesift.functions.binding import let
 from lakesift.rules.sinks import MASKS
+from lakesift.rules.suggestions import BY_SINK, ENCRYPT, OTHERWISE, REDACTED
 
 
 def names_type(name: Column, pii_type: Column) -> Column:
@@ -32,34 +33,22 @@ def mask_of(pii_type: Column) -> Column:
 def _patched(line: Column, pii_type: Column, kind: Column) -> Column:
     indent = F.regexp_extract(line, r"^(\s*)", 1)
 
-    def note(before: str, after: str) -> Column:
-        return F.concat(indent, F.lit(before), pii_type, F.lit(after))
+    def note(texts: tuple[str, str, str, str]) -> Column:
+        return F.concat(indent, F.lit(texts[2]), pii_type, F.lit(texts[3]))
 
     def patch(e: Column) -> Column:
-        masked = F.replace(line, e, F.concat(mask_of(pii_type), F.lit("("), e, F.lit(")")))
-        have = e.isNotNull()
-        return (
-            F.when(kind == "log_output", F.when(have, masked).otherwise(note("// TODO: mask PII (", ") before logging")))
-            .when(kind == "third_party_api", F.when(have, masked).otherwise(note("// TODO: mask or remove ", " before sending to third-party API")))
-            .when(kind == "response", F.when(have, F.replace(line, e, F.lit('"[REDACTED]"'))).otherwise(note("// TODO: redact ", " from response")))
-            .when(kind == "database", F.when(have, F.replace(line, e, F.concat(F.lit("encrypt("), e, F.lit(")")))).otherwise(note("// TODO: encrypt ", " before database storage")))
-            .otherwise(note("// TODO: review handling of ", " — ensure encryption at rest, minimize collection"))
-        )
+        called = lambda f: F.replace(line, e, F.concat(f, F.lit("("), e, F.lit(")")))
+        by_kind = {"log_output": called(mask_of(pii_type)), "third_party_api": called(mask_of(pii_type)), "response": F.replace(line, e, F.lit(REDACTED)), "database": called(F.lit(ENCRYPT))}
+        each = [F.when(kind == k, F.when(e.isNotNull(), new).otherwise(note(BY_SINK[k]))) for k, new in by_kind.items()]
+        return F.when(F.coalesce(kind.isin(list(by_kind)), F.lit(False)), F.coalesce(*each)).otherwise(note(OTHERWISE))
 
     return let(expression_of(line, pii_type), patch)
 
 
 def described(pii_type: Column, kind: Column) -> Column:
-    def say(before: str, after: str) -> Column:
-        return F.concat(F.lit(before), pii_type, F.lit(after))
-
-    return (
-        F.when(kind == "log_output", say("Mask ", " before logging to prevent PII leakage"))
-        .when(kind == "third_party_api", say("Mask ", " before sending to third-party API"))
-        .when(kind == "response", say("Redact ", " from API response payload"))
-        .when(kind == "database", say("Encrypt ", " before storing in database"))
-        .otherwise(say("Review handling of ", " to ensure compliance"))
-    )
+    """What a suggestion for a type and sink says."""
+    each = [F.when(kind == k, F.concat(F.lit(t[0]), pii_type, F.lit(t[1]))) for k, t in BY_SINK.items()]
+    return F.coalesce(*each, F.concat(F.lit(OTHERWISE[0]), pii_type, F.lit(OTHERWISE[1])))
 
 
 def unified_diff(file: Column, line: Column, old: Column, new: Column) -> Column:

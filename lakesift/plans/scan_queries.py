@@ -10,6 +10,7 @@ from lakesift.config import DEFAULT_EXCLUDE, Config, PathRule
 from lakesift.functions import names
 from lakesift.functions.globs import glob_regex
 from lakesift.operators import baseline, detect, facts, flow, frameworks, graph, reports, suggest
+from lakesift.rules.articles import ARTICLES
 from lakesift.rules.dictionary import SEVERITY_RANK
 from lakesift.rules.frameworks import FRAMEWORKS, GROUPS, RULES
 from lakesift.rules.literals import LITERALS, SAFE_NAMES, TEST_CONTEXT
@@ -101,6 +102,12 @@ def fw_article_report(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def article_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every described article with the number of saved findings mapped to it."""
+    mapped = _mapped(spark, sf).select(F.explode("framework_mappings").alias("m")).groupBy("m.framework", "m.article").agg(F.count("*").alias("n"))
+    return frameworks.article_table(spark).join(mapped, ["framework", "article"], "left").select("framework", "article", "title", "description", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def severity_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Stored findings of each severity by type."""
     return reports.severity_summary(table(spark, sf, "scan_findings"), "pii_type")
@@ -227,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lit_doc_first_type, lit_line_findings, lit_lang_rollup, dict_words, context_flags, allow_ignore_cap, glob_exclude, staged_files, flow_variables, sink_classify,
-        fw_mapping_explode, fw_article_report, severity_summary, failon_gate, first_per_line, worst_findings, diff_shown, saved_and_read, upload_totals, quick_fixes, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
+        fw_mapping_explode, fw_article_report, article_texts, severity_summary, failon_gate, first_per_line, worst_findings, diff_shown, saved_and_read, upload_totals, quick_fixes, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
         facts_by_language, scan_parsed_files, module_edges,
     )
 }
@@ -319,6 +326,10 @@ SELECT file_id, path FROM p WHERE EXISTS (SELECT 1 FROM c WHERE path = f OR ends
     "sink_classify": rf"""WITH c AS (SELECT callee, lower(callee) AS low, count(*) AS n FROM (SELECT unnest(regexp_extract_all(code_snippet, '([A-Za-z_][A-Za-z0-9_.]*)\(', 1)) AS callee FROM scan_findings) GROUP BY callee)
 SELECT callee, n, kind FROM (SELECT callee, n, {_SINK} AS kind FROM c) WHERE kind IS NOT NULL""",
     "fw_mapping_explode": _MAPPED + "SELECT framework, article, title, count(*) AS n FROM mapped GROUP BY ALL",
+    "article_texts": _MAPPED
+    + "SELECT a.framework, a.article, a.title, a.description, coalesce(c.n, 0) AS n FROM (VALUES "
+    + ", ".join("(" + ", ".join(map(_q, a)) + ")" for a in ARTICLES)
+    + ") a(framework, article, title, description) LEFT JOIN (SELECT framework, article, count(*) AS n FROM mapped GROUP BY ALL) c USING (framework, article)",
     "fw_article_report": _MAPPED
     + """SELECT framework, article, count(DISTINCT id) AS findings, max(rank) AS max_rank, arg_min(title, (per, id)) AS title, CASE WHEN max(rank) >= 2 THEN 'AT RISK' ELSE 'REVIEW' END AS status
 FROM (SELECT *, row_number() OVER (PARTITION BY framework, id ORDER BY pos) AS per FROM (SELECT DISTINCT * FROM mapped)) GROUP BY framework, article""",

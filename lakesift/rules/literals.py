@@ -10,9 +10,10 @@ LITERALS: list[tuple[str, str]] = [
     ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}(?:[A-Z0-9]{0,18})\b"),
 ]
 
-SAFE_NAMES = (
-    "writeline readline deadline pipeline streamline guideline baseline timeline outline online offline hotline byline headline getline cmdline "
-    "telephone controller selector delegate template throttle channel handler listener formatter dispatcher count counter total length size index offset"
-).split()
+SAFE_NAMES = [
+    "writeline", "readline", "deadline", "pipeline", "streamline", "guideline", "baseline", "timeline", "outline", "online", "offline", "hotline", "byline", "headline",
+    "getline", "cmdline", "telephone", "controller", "selector", "delegate", "template", "throttle", "channel", "handler", "listener", "formatter", "dispatcher", "count",
+    "counter", "total", "length", "size", "index", "offset",
+]
 
 TEST_CONTEXT = r"test|spec|fixture|mock|fake|stub"

@@ -439,3 +439,18 @@ def test_streams(spark, tmp_path):
     q = daily.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("daily").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lakesift.__main__ import main
+
+    tree, old, new = tmp_path / "tree", str(tmp_path / "old"), str(tmp_path / "new")
+    tree.mkdir()
+    (tree / "a.ts").write_text("console.log(user.email);\n")
+    assert main(["scan", str(tree), "--out", old]) == 1 and "email" in capsys.readouterr().out
+    (tree / "b.ts").write_text("const gender = 1;\n")
+    assert main(["scan", str(tree), "--out", new, "--baseline", old]) == 0 and "added" in capsys.readouterr().out
+    assert main(["diff", old, new, "--json", str(tmp_path / "d")]) == 0 and "gender" in capsys.readouterr().out
+    assert main(["report", new, "gdpr"]) == 0 and "GDPR report" in capsys.readouterr().out
+    assert main(["suggest", new, str(tree), "--json", str(tmp_path / "s")]) == 0 and "maskEmail(user.email)" in capsys.readouterr().out
+    assert spark.read.text(str(tmp_path / "d")).count() == 2 and spark.read.text(str(tmp_path / "s")).count() == 2
