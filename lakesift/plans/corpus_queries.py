@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift import pipeline
-from lakesift.config import Config
+from lakesift.config import Config, config_of
 from lakesift.operators import facts, graph, suggest
 from lakesift.plans.corpus import FILES
+from lakesift.runtime import file_system, fresh_path
+from lakesift.sources.files import discover, event_lines
 
 KEYS = ["repository"]
 
@@ -99,10 +101,55 @@ def scan_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return suggest.suggest(rows, _files(spark).select("path", "source")).select("file", "line", "description", "replacement_line")
 
 
+#: A configuration as a YAML file gives it: own types and sinks, an allowed sink, a skipped folder, a cap on severity, an allow list and an ignored type.
+RULES = {
+    "frameworks": ["GDPR"],
+    "rules": {
+        "allow_identifiers": ["hunter"],
+        "custom_sinks": [{"pattern": "^store$", "kind": "file"}, {"pattern": "^console[.]", "kind": "log", "allowed": True}],
+        "exceptions": [{"paths": ["go/**"], "action": "skip"}, {"paths": ["src/**"], "action": "reduce_severity", "max_severity": "low"}],
+    },
+    "pii_types": {"custom": [{"name": "badge", "patterns": ["^row$"], "severity": "critical"}], "ignore": ["salary"]},
+}
+
+
+def scan_with_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the code base under a configuration."""
+    found = pipeline.scan(_files(spark), KEYS, config_of(RULES), cross_file=False)
+    return found.select("path", F.col("location.line").alias("line"), "pii_type", "severity", F.col("data_flow.sink.kind").alias("sink"))
+
+
+def _write(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, hadoop_path = file_system(spark, path)
+    out = fs.create(hadoop_path(path), True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def discovered_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The code base as a tree of files, with some that are excluded, too large, not UTF-8 or of no known language: what discovery finds, and how many it skips."""
+    root = fresh_path(spark, "tree")
+    for p, (_, source) in FILES.items():
+        _write(spark, f"{root}/{p}", source.encode())
+    for p, content in (("src/huge.ts", b"x" * 5000), ("src/latin.py", b"# caf\xe9\n"), ("src/web/routes.test.js", b"x"), ("lib/build/out.js", b"x"), ("build/out.js", b"x"), ("README.md", b"x"), ("src/UPPER.TS", b"y")):
+        _write(spark, f"{root}/{p}", content)
+    config = Config(languages=["typescript", "javascript", "python"], exclude=["build/**", "**/*.test.js"], include=["**/*.{ts,js,py,TS}"], max_file_size=4000)
+    files, skipped = discover(spark, root, config)
+    return files.select("path", "language", F.octet_length("source").alias("bytes")).crossJoin(F.broadcast(skipped))  # one row
+
+
+def telemetry_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event lines, of which some do not parse, with one property."""
+    path = fresh_path(spark, "events")
+    _write(spark, f"{path}/e.jsonl", b'{"event":"scan","session_id":"s1","timestamp":5,"properties":{"files":"3"}}\n{"event":"scan"\nnot json\n{"event":"report","properties":{}}\n')
+    return event_lines(spark, path).select("event", "session_id", "timestamp", F.try_element_at("properties", F.lit("files")).alias("files"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         facts_names, facts_literals, facts_calls, facts_imports, facts_exports, facts_warnings, graph_edges, graph_names, graph_dependents, graph_dependencies, scan_corpus, scan_suggestions,
+        scan_with_rules, discovered_files, telemetry_events,
     )
 }
 
@@ -261,4 +308,37 @@ SQL = {
         ('py/people.py', 8, 'Mask national_id before logging to prevent PII leakage', '        // TODO: mask PII (national_id) before logging'),
         ('src/web/routes.js', 7, 'Mask ip_address before logging to prevent PII leakage', '  // TODO: mask PII (ip_address) before logging')""",
     ),
+    "scan_with_rules": _rows(
+        "path, line, pii_type, severity, sink",
+        r"""
+        ('broken/half.ts', 1, 'email', 'high', NULL),
+        ('cs/Login.cs', 5, 'password', 'critical', NULL), ('cs/Login.cs', 7, 'passport_number', 'critical', NULL), ('cs/Login.cs', 8, 'auth_token', 'critical', NULL),
+        ('jv/Order.java', 8, 'full_name', 'high', NULL),
+        ('py/people.py', 6, 'email', 'high', NULL), ('py/people.py', 6, 'national_id', 'critical', NULL), ('py/people.py', 7, 'national_id', 'critical', 'log_output'),
+        ('py/people.py', 8, 'national_id', 'critical', 'log_output'), ('py/people.py', 12, 'credit_card', 'critical', 'file_system'), ('py/people.py', 16, 'iban', 'critical', NULL),
+        ('py/tools.py', 9, 'badge', 'critical', NULL),
+        ('src/model/user.ts', 2, 'email', 'low', NULL), ('src/model/user.ts', 2, 'phone_number', 'low', NULL), ('src/model/user.ts', 3, 'email', 'low', NULL), ('src/model/user.ts', 5, 'badge', 'low', 'database'),
+        ('src/model/user.ts', 9, 'api_key', 'low', NULL),
+        ('src/web/index.ts', 3, 'password', 'low', NULL),
+        ('src/web/routes.js', 5, 'full_name', 'low', NULL), ('src/web/routes.js', 5, 'phone_number', 'low', NULL)""",
+    ),
+    "discovered_files": _rows(
+        "path, language, bytes, files_skipped",
+        r"""
+        ('broken/half.py', 'python', 21, 2),
+        ('broken/half.ts', 'typescript', 45, 2),
+        ('lib/build/out.js', 'javascript', 1, 2),
+        ('py/people.py', 'python', 280, 2),
+        ('py/tools.py', 'python', 142, 2),
+        ('src/model/user.ts', 'typescript', 322, 2),
+        ('src/util/crypt.ts', 'typescript', 132, 2),
+        ('src/web/index.ts', 'typescript', 100, 2),
+        ('src/web/routes.js', 'javascript', 321, 2)""",
+    ),
+    "telemetry_events": _rows(
+        "event, session_id, timestamp, files",
+        r"""
+        ('report', NULL, NULL, NULL),
+        ('scan', 's1', 5, '3')""",
+    ),
 }

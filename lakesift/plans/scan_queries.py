@@ -129,6 +129,12 @@ def worst_findings(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.in_order(pipeline.shown(table(spark, sf, "findings"), "medium")).limit(50).select("id", "location.file", "location.line", F.lower("severity").alias("severity"))
 
 
+def shown_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved findings as the terminal table shows them, with the number of articles."""
+    rows = reports.table_rows(table(spark, sf, "findings"))
+    return rows.select("id", "severity", "pii_type", "file", "line", F.size(F.filter(F.split("articles", ", "), lambda a: a != "")).alias("articles"))
+
+
 def diff_shown(spark: SparkSession, sf: str) -> DataFrame:
     """The first fifty entries of the diff of the two scans as they are shown (a top-n report)."""
     old, new = _two_scans(spark, sf)
@@ -234,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lit_doc_first_type, lit_line_findings, lit_lang_rollup, dict_words, context_flags, allow_ignore_cap, glob_exclude, staged_files, flow_variables, sink_classify,
-        fw_mapping_explode, fw_article_report, article_texts, severity_summary, failon_gate, first_per_line, worst_findings, diff_shown, saved_and_read, upload_totals, quick_fixes, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
+        fw_mapping_explode, fw_article_report, article_texts, severity_summary, failon_gate, first_per_line, worst_findings, shown_table, diff_shown, saved_and_read, upload_totals, quick_fixes, order_keys, diff_two_scans, diff_summary, type_map, suggest_patches, sarif_levels,
         facts_by_language, scan_parsed_files, module_edges,
     )
 }
@@ -340,6 +346,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY framework, id ORDER BY pos) AS p
     "first_per_line": "SELECT scan_id, file_path AS path, line, pii_type, min(id) AS id FROM scan_findings GROUP BY scan_id, file_path, line, pii_type",
     "worst_findings": f"""SELECT id, location.file AS file, location.line AS line, lower(severity) AS severity FROM findings WHERE {_RANK} >= 1 AND lower(trim(confidence)) IN ('medium', 'high')
 ORDER BY {_RANK} DESC, string_split(location.file, '/') NULLS FIRST, location.line NULLS FIRST, id NULLS FIRST LIMIT 50""",
+    "shown_table": """SELECT id, severity, pii_type, CASE WHEN length(location.file) > 38 THEN '...' || right(location.file, 35) ELSE location.file END AS file, location.line AS line,
+  CASE WHEN framework_mappings IS NOT NULL THEN CAST(len(list_distinct(list_transform(framework_mappings, lambda m: CASE WHEN m.framework IS NOT NULL AND m.article IS NOT NULL THEN m.framework || ' ' || m.article END))) AS INTEGER) END AS articles FROM findings""",
     "saved_and_read": "SELECT pii_type, severity, count(*) AS n, CAST(sum(coalesce(len(framework_mappings), 0)) AS BIGINT) AS mappings, count(data_flow.sink.kind) AS sinks, CAST(7 AS BIGINT) AS files_scanned FROM findings GROUP BY pii_type, severity",
     "upload_totals": "SELECT *, (SELECT count(*) FROM findings) AS total FROM (SELECT "
     + ", ".join(f"count(*) FILTER (lower(trim(severity)) = '{s}') AS {s}" for s in reports.LEVELS)
