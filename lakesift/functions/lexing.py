@@ -11,6 +11,8 @@ import re
 import warnings
 from dataclasses import dataclass, field
 
+from lakesift.rules import hints
+
 MAX_FAULTS = 5
 MIN_LITERAL_BYTES = 5
 # Words that are never names of data, and methods of Python's own types.
@@ -131,7 +133,8 @@ def _python(source: str) -> Facts:
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        f.fault(getattr(e, "lineno", None), getattr(e, "msg", None) or str(e), _hint(source))
+        at, lines = getattr(e, "lineno", None), source.split("\n")
+        f.fault(at, getattr(e, "msg", None) or str(e), _hint(lines[at - 1] if at and at <= len(lines) else ""))
         return _tokens(source, "python", f)
     lines = source.split("\n")
 
@@ -184,11 +187,14 @@ def _python(source: str) -> Facts:
 # The other languages -----------------------------------------------------------------------------------------------------
 
 
-def _hint(source: str) -> str | None:
-    for a, b, what in (("{", "}", "braces"), ("(", ")", "parentheses"), ("[", "]", "brackets")):
-        if source.count(a) != source.count(b):
-            return f"Mismatched {what}."
-    return None
+def _hint(line: str) -> str:
+    """What the line of a fault suggests."""
+    if "=>" in line and "(" not in line:
+        return hints.ARROW
+    for opening, closing, advice in hints.BRACKETS:
+        if line.count(opening) != line.count(closing):
+            return advice
+    return hints.COMMA if line.rstrip().endswith(",") else hints.OTHERWISE
 
 
 def _tokens(source: str, language: str, facts: Facts | None = None) -> Facts:
@@ -210,7 +216,7 @@ def _tokens(source: str, language: str, facts: Facts | None = None) -> Facts:
     kinds = [x[0] for x in toks] + [""] * _PAD  # what lies before the first or behind the last token reads as ''
     texts = [x[1] for x in toks] + [""] * _PAD
     keywords = GO_KEYWORDS if language == "go" else KEYWORDS
-    match = _pairs(toks, f)
+    match = _pairs(toks, f, source)
     roles = _roles(toks, texts, match, language)
     java = language == "java"
     for i, (k, t, ln, col) in enumerate(toks):
@@ -260,11 +266,19 @@ def _tokens(source: str, language: str, facts: Facts | None = None) -> Facts:
     return f
 
 
-def _pairs(toks: list, f: Facts) -> dict[int, int]:
+def _pairs(toks: list, f: Facts, source: str) -> dict[int, int]:
     """Closing place of each opening bracket; brackets that do not match are faults."""
     closing = {"(": ")", "[": "]", "{": "}"}
     stack: list[int] = []
     out: dict[int, int] = {}
+    lines: list[str] = []
+
+    def fault(line: int, message: str) -> None:
+        if len(f.warnings) < MAX_FAULTS:
+            if not lines:
+                lines.extend(source.split("\n"))
+            f.fault(line, message, _hint(lines[line - 1]))
+
     for i, (k, t, ln, _) in enumerate(toks):
         if k != "op":
             continue
@@ -274,9 +288,9 @@ def _pairs(toks: list, f: Facts) -> dict[int, int]:
             if stack and closing[toks[stack[-1]][1]] == t:
                 out[stack.pop()] = i
             else:
-                f.fault(ln, f"syntax error near `{t}`", f"Unmatched {t}")
+                fault(ln, f"syntax error near `{t}`")
     for i in stack:
-        f.fault(toks[i][2], f"`{toks[i][1]}` is not closed", f"Missing {closing[toks[i][1]]}")  # as many as are wanted
+        fault(toks[i][2], f"`{toks[i][1]}` is not closed")
         out[i] = len(toks)
     return out
 

@@ -17,6 +17,7 @@ from lakesift.operators import baseline, dashboard, facts, flow, frameworks, gra
 from lakesift.rules.dictionary import CONFIDENCE_RANK, DICTIONARY
 from lakesift.sources import files as src
 from lakesift.operators.delivery import SeenState
+from lakesift.rules import hints
 from lakesift.rules.articles import ARTICLES
 from lakesift.rules.frameworks import RULES
 from lakesift.rules.literals import LITERALS, SAFE_NAMES
@@ -214,6 +215,15 @@ def test_lexing_deep_truncated_calls():
     assert len(f.warnings) == lexing.MAX_FAULTS
 
 
+@pytest.mark.parametrize(
+    ("source", "line", "hint"),
+    [("a\nlet f = x => [1;\n", 2, hints.ARROW), ("if (a) {\n f();\n", 1, hints.BRACKETS[0][2]), ("f(\n", 1, hints.BRACKETS[1][2]), ("f(a,\n b],\n)", 2, hints.BRACKETS[2][2]), ("}{\n{}}", 1, hints.OTHERWISE)],
+)
+def test_lexing_hints(source, line, hint):
+    first = lexing.facts_of(source, "typescript").warnings[0]
+    assert (first["line"], first["hint"]) == (line, hint)
+
+
 def test_lexing_modules():
     f = lexing.facts_of("import d, { a as b } from './m';\nimport * as n from 'n';\nexport { x as y } from './z';\nexport default 1;\nexport class C {}\n", "typescript")
     assert [(i["source"], [(s["kind"], s["local"], s["imported"]) for s in i["specifiers"]]) for i in f.imports] == [("./m", [("default", "d", "default"), ("named", "b", "a")]), ("n", [("namespace", "n", "*")])]
