@@ -64,6 +64,9 @@ TESTS = re.compile(r"(?:^|/)tests?/|\.(?:test|spec)\.\w+$|(?:^|/)test_[^/]+$|_te
 
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
 _COMMENT = re.compile(r"/\*.*?\*/|(?<![:\"'])//[^\n]*|(?m:^|(?<=\s))#(?![!\[])[^\n]*|\"\"\".*?\"\"\"", re.S)
+_SOME_NOTICE = re.compile(r"(?i)generat|machine-made|output, source|bundled|copied|vendored|@license|part of| v\d|licen[cs]e|contributors")  # in every notice above
+_SHAPE = re.compile(r"[A-Za-z_]\w*|\d+")
+_DIGIT = re.compile(r"\d")
 _HEAD_COMMENT = re.compile(r"\s*(?:/\*.*?\*/|(?:(?://|#)[^\n]*(?:\n|\Z)\s*)+|\"\"\".*?\"\"\")", re.S)
 
 FEATURES = (
@@ -80,29 +83,35 @@ def normal_path(path: str | None) -> str:
 def features(source: str, excluded: bool) -> list[float]:
     """What the forest sees of a file; leading comments and notice lines are taken out first."""
     text = _HEAD_COMMENT.sub("", source.lstrip("﻿"), count=1)
-    text = "\n".join(line for line in text.split("\n") if not (GENERATED.match(line) or LIBRARY.match(line))).replace("\r", "")
+    if _SOME_NOTICE.search(text):
+        text = "\n".join(line for line in text.split("\n") if not (GENERATED.match(line) or LIBRARY.match(line)))
+    text = text.replace("\r", "")
     n = max(1, len(text))
     raw = text.encode("utf-8", "replace")
-    comments = sum(len(m) for m in _COMMENT.findall(text))
-    code = _COMMENT.sub(" ", text)
+    code, spans = _COMMENT.subn(" ", text)
+    comments = len(text) - len(code) + spans  # each comment left one blank
     tokens = _TOKEN.findall(code)
-    names = [t for t in tokens if t[0].isalpha() or t[0] in "_$"]
-    literal = sum(len(t) for t in tokens if t[0] in "\"'" or t[0].isdigit())
     counts = Counter(tokens)
+    names = letters = short = literal = 0
+    for t, c in counts.items():
+        if t[0].isalpha() or t[0] in "_$":
+            names, letters, short = names + c, letters + c * len(t), short + c * (len(t) <= 3)
+        elif t[0] in "\"'" or t[0].isdigit():
+            literal += c * len(t)
     total = max(1, len(tokens))
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
     lines = [line for line in text.split("\n") if line.strip()] or [""]
-    shapes = Counter(re.sub(r"[A-Za-z_]\w*|\d+", "i", line.strip()) for line in lines)
+    shapes = {shape for line in _SHAPE.sub("i", text).split("\n") if (shape := line.strip())} or {""}
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy / math.log2(total + 1),
-        sum(map(len, names)) / max(1, len(names)),
-        sum(len(x) <= 3 for x in names) / max(1, len(names)),
+        letters / max(1, names),
+        short / max(1, names),
         comments / n,
         math.log1p(n / len(lines)),
         math.log1p(max(map(len, lines))),
-        sum(c.isdigit() for c in text) / n,
-        sum(c.isspace() for c in text) / n,
+        len(_DIGIT.findall(text)) / n,
+        (len(text) - sum(map(len, text.split()))) / n,
         literal / n,
         len(counts) / total,
         1 - len(shapes) / len(lines),
