@@ -1,9 +1,10 @@
 """What changed between consecutive full snapshots of a table.
 
-Canonical row hashes: the primary key and the compared values of a row are each brought into one spelling and hashed
-(SHA-256, so equal hashes mean equal values); a full outer join on the key hash then gives additions and removals as the
-missing sides and changes as unequal value hashes. Nothing is compared pairwise and every join key holds the key hash, so
-one project that owns a third of all rows still spreads over all partitions.
+The primary key and the compared values of a row are each brought into one spelling. All snapshots of a key meet in one sorted run, where
+each row sees the key's rows before and after it. Most rows are settled there: nothing lies between a snapshot and the next whole number, so
+a row whose neighbours carry the next lower and the next higher number, with equal values, gives nothing. Only the others (additions, removals, changes and rows at
+gaps of the numbering) are joined with the list of snapshots, which tells which snapshot precedes which. Nothing is compared
+pairwise and rows are shuffled by a hash of the key, so one project that owns a third of all rows still spreads over all partitions.
 
 Defined cases: rows that repeat count once. Nulls in a key or value column are values of their own, equal to each other and
 to nothing else. Of rows with one key in one snapshot but unequal values, the one loaded last holds (ties: the greatest
@@ -22,8 +23,8 @@ from lakesift.runtime import materialise
 
 #: Rows (group, number and its neighbours) up to which the list of snapshots is broadcast; about 20 MB.
 LISTED = 200_000
-#: Parts of a group's snapshot where the list is too long for that.
-SALTS = 64
+#: Rows of a snapshot beyond which it is read in parts.
+PART = 200_000
 
 
 def one_blank(c: Column) -> Column:
@@ -48,57 +49,66 @@ def snapshot_changes(
     values: Mapping[str, Column],
     loaded_at: str | None = None,
     listed: int = LISTED,
+    part: int = PART,
 ) -> DataFrame:
     """Added, removed and changed keys of each snapshot against the group's next lower number present.
 
     ``key`` and ``values`` map output names to the canonical form of a column. Returns ``group``, ``number`` (bigint, the
     later snapshot), ``change_kind`` and the key columns, with ``old_<value>`` and ``new_<value>`` for each value.
 
-    Two shuffles carry rows (repeats, already combined before the shuffle; the earlier side of the join), both by a key with the key hash. Which
-    snapshot precedes which is one row per group and number: it is broadcast if it has at most ``listed`` rows (counted), else joined with a
-    salt from the key hash, so no shuffle ever puts the rows of one group or snapshot together.
+    One shuffle, by the key hash, carries all rows; those of snapshots with more than ``part`` rows have their repeats combined by a shuffle before it. Which
+    snapshot precedes which is one row per group and number: it is broadcast if it has at most ``listed`` rows (counted), else sorted and joined, with a
+    salt from the key hash for each ``part`` rows of a snapshot, so no shuffle ever puts the rows of one group or large snapshot together. What else is broadcast is
+    the list of the snapshots read in parts, at most ``LISTED``: parts are larger where there would be more.
     """
     number_ = F.col(number).cast("bigint")
     numbered = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
     base = numbered.select(
+        F.xxhash64(group, *key.values()).alias("_k"),
         F.col(group).alias("_g"),
-        number_.alias("_n"),
-        row_hash(list(key.values())).alias("_k"),
         F.struct(*[c.alias(n) for n, c in key.items()]).alias("_key"),
-        F.struct(*[c.alias(n) for n, c in values.items()]).alias("_val"),
-        (F.col(loaded_at) if loaded_at else F.lit(0)).alias("_at"),
-    )
-    once = base.groupBy("_g", "_n", "_k").agg(
-        F.first("_key").alias("_key"), F.max(F.struct(F.col("_at"), F.col("_val"))).getField("_val").alias("_val")
+        number_.alias("_n"),
+        F.struct((F.col(loaded_at) if loaded_at else F.lit(0)).alias("_at"), F.struct(*[c.alias(n) for n, c in values.items()]).alias("_val")).alias("_last"),
     )
+    same, last = ("_k", "_g", "_key", "_n"), F.max("_last").alias("_last")
     w = Window.partitionBy("_g").orderBy("_n")
-    numbers = numbered.select(F.col(group).alias("_g"), number_.alias("_n")).distinct()
-    order = materialise(numbers.select("_g", "_n", F.lag("_n").over(w).alias("_before"), F.lead("_n").over(w).alias("_after")), "snapshot-order")
-    if order.count() <= listed:
-        placed = once.join(F.broadcast(order), ["_g", "_n"])
+    sizes = numbered.groupBy(F.col(group).alias("_g"), number_.alias("_n")).agg(F.count("*").alias("_rows"))
+    order = materialise(sizes.withColumns({"_before": F.lag("_n").over(w), "_after": F.lead("_n").over(w)}), "snapshot-order")
+    snapshots, total, largest = order.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    part = max(part, total // LISTED + 1)
+    order = order.withColumn("_parts", F.ceil(F.col("_rows") / part)).drop("_rows")
+    large = F.broadcast(order.where("_parts > 1").select("_g", "_n", "_parts"))  # fewer than LISTED rows
+    if largest > part:
+        combined = base.join(large, ["_g", "_n"], "left_semi").groupBy(*same).agg(last)
+        base = base.join(large, ["_g", "_n"], "left_anti").unionByName(combined)
+    once = base.repartition("_k").groupBy(*same).agg(last).select(*same, "_last._val")
+    run = Window.partitionBy("_k", "_g", "_key").orderBy("_n")
+    near = once.withColumns({"_was": F.lag("_n").over(run), "_old": F.lag("_val").over(run), "_next": F.lead("_n").over(run)})
+    changed = ~F.col("_old").eqNullSafe(F.col("_val"))
+    follows = F.col("_was").eqNullSafe(F.try_subtract("_n", F.lit(1))) & F.col("_next").eqNullSafe(F.try_add("_n", F.lit(1)))
+    open_ = near.where(~follows | changed)
+    if snapshots <= listed:
+        placed = open_.join(F.broadcast(order), ["_g", "_n"])
     else:
-        salt = F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")
-        salted = order.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        placed = once.withColumn("_salt", salt).join(salted, ["_g", "_n", "_salt"]).drop("_salt")
-    digest = row_hash([F.col(f"_val.{n}") for n in values]).alias("_h")
-    later = placed.where("_before is not null").select("_g", "_n", "_k", F.col("_key").alias("_ck"), F.col("_val").alias("_cv"), digest)
-    earlier = placed.where("_after is not null").select(
-        "_g", F.col("_after").alias("_n"), "_k", F.col("_key").alias("_pk"), F.col("_val").alias("_pv"), digest.alias("_ph")
-    )
-    both = later.join(earlier, ["_g", "_n", "_k"], "full_outer")
-    kind = (
-        F.when(F.col("_ph").isNull(), "added")
-        .when(F.col("_h").isNull(), "removed")
-        .when(F.col("_h") != F.col("_ph"), "changed")
-    )
-    held = F.coalesce("_ck", "_pk")
-    return both.withColumn("change_kind", kind).where("change_kind is not null").select(
+        salted = order.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+        salt = F.coalesce(F.pmod("_k", "_parts"), F.lit(0).cast("bigint"))
+        # Hinted, since Spark would judge by the size of its files that a list of millions of rows may be broadcast.
+        placed = open_.join(large, ["_g", "_n"], "left").withColumn("_salt", salt).join(salted.hint("merge"), ["_g", "_n", "_salt"])
+    met = F.col("_was").eqNullSafe(F.col("_before"))
+    here = F.when(~met, "added").when(changed, "changed")
+    kind = F.when(F.col("_before").isNotNull(), here)
+    gone = F.col("_after").isNotNull() & ~F.col("_next").eqNullSafe(F.col("_after"))
+    later = F.struct(F.col("_n").alias("n"), kind.alias("kind"), F.when(met, F.col("_old")).alias("old"), F.col("_val").alias("new"))
+    nothing = F.when(F.lit(False), F.col("_val"))
+    removed = F.struct(F.col("_after").alias("n"), F.lit("removed").alias("kind"), F.col("_val").alias("old"), nothing.alias("new"))
+    each = F.explode(F.array_compact(F.array(F.when(kind.isNotNull(), later), F.when(gone, removed))))
+    return placed.select("_g", "_key", each.alias("_c")).select(
         F.col("_g").alias(group),
-        F.col("_n").alias(number),
-        "change_kind",
-        *[held.getField(n).alias(n) for n in key],
-        *[F.col(f"_pv.{n}").alias(f"old_{n}") for n in values],
-        *[F.col(f"_cv.{n}").alias(f"new_{n}") for n in values],
+        F.col("_c.n").alias(number),
+        F.col("_c.kind").alias("change_kind"),
+        *[F.col("_key").getField(n).alias(n) for n in key],
+        *[F.col("_c.old").getField(n).alias(f"old_{n}") for n in values],
+        *[F.col("_c.new").getField(n).alias(f"new_{n}") for n in values],
     )
 
 

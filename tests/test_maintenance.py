@@ -85,6 +85,39 @@ def test_changes_shuffle_rows_by_key_hash_only(spark, monkeypatch, listed):
     assert exchanges and all("_k#" in x or "_salt#" in x for x in exchanges)
 
 
+def test_changes_never_broadcast_a_long_list(spark):
+    rows = [(f"p{i}", n, 0, "a", "s", "", "low", n) for i in range(50) for n in (1, 2)]
+    df = snapshot_changes(snap(spark, rows), "project_name", "snapshot_no", snapshots.fingerprint_key(), {"line": F.col("line")}, listed=0)
+    assert df.where("change_kind = 'changed'").count() == 50
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join " in x and "_salt#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_changes_of_large_snapshots_and_gaps(spark, listed):
+    rng = random.Random(8)
+    low, high = -(2**63), 2**63 - 1
+    rows = [(rng.choice(["p", "p", "q"]), rng.choice([low, 1, 2, 3, 7, 9, high]), 0, f"f{rng.randint(0, 5)}", "s", "", "low", rng.randint(1, 2)) for _ in range(300)]
+    schema = SNAP.replace("snapshot_no int", "snapshot_no bigint")
+    t = dt.datetime(2025, 1, 1)
+    df = spark.createDataFrame([(p, n, t, f, "email", s, k, sev, line, "x") for p, n, _, f, s, k, sev, line in rows], schema)
+    held = {}
+    for p, n, _, f, _, _, _, line in rows:
+        now = held.setdefault(p, {}).setdefault(n, {})
+        now[f] = max(line, now.get(f, 0))
+    want = []
+    for p, by_no in held.items():
+        numbers = sorted(by_no)
+        for before, n in zip(numbers, numbers[1:], strict=False):
+            for f in by_no[before].keys() | by_no[n].keys():
+                old, now = by_no[before].get(f), by_no[n].get(f)
+                if old != now:
+                    want.append((p, n, "added" if old is None else "removed" if now is None else "changed", f, old, now))
+    got = snapshot_changes(df, "project_name", "snapshot_no", snapshots.fingerprint_key(), {"line": F.col("line")}, "loaded_at", listed=listed, part=2)
+    key = ("project_name", "snapshot_no", "change_kind", "file", "old_line", "new_line")
+    assert sorted(map(str, got.select(*key).collect())) == sorted(str(Row(**dict(zip(key, x, strict=True)))) for x in want)
+
+
 def test_generic_changes_with_other_names(spark):
     df = spark.createDataFrame([("g", 1, 1, "a"), ("g", 2, 1, "b"), ("g", 2, 2, "c")], "_g string, n int, id int, v string")
     got = snapshot_changes(df, "_g", "n", {"id": F.col("id")}, {"v": F.col("v")}).select("change_kind", "id", "old_v", "new_v").collect()
