@@ -523,6 +523,45 @@ def test_subjects_on_held_out_labels(spark, sf):
     assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
 
 
+def best_by_hand(scored, labels):
+    """Floor and threshold by sorting every point of the labelled documents."""
+    wanted = sum(map(len, labels.values()))
+    best, chosen = -1.0, subjects.DEFAULT
+    for floor in subjects.FLOORS:
+        points = sorted(((v / max(floor, n), s in labels[i]) for i, n, s, v in scored if i in labels), reverse=True)
+        right = 0
+        for k, (v, good) in enumerate(points):
+            right += good
+            below = points[k + 1][0] if k + 1 < len(points) else 0.0
+            f1 = 2 * right / (k + 1 + wanted)
+            if below < v and f1 > best:
+                best, chosen = f1, (floor, (v + below) / 2)
+    return chosen
+
+
+SCORED, LABELS = "id bigint, sentences bigint, subject string, score double", "doc_id bigint, subject string"
+
+
+def test_threshold_from_every_labelled_document(spark):
+    rng = random.Random(5)
+    scored = [(i, rng.randint(1, 40), "law", round(rng.uniform(0.1, 9), 6)) for i in range(60_000)]
+    labels = {i: {"law"} if rng.random() < v / max(8, n) else {"health"} for i, n, _, v in scored}
+    pairs = [(i, s) for i, held in labels.items() for s in held]
+    got = subjects.calibrate(spark.createDataFrame(scored, SCORED), spark.createDataFrame(pairs, LABELS), "doc_id")
+    assert got == best_by_hand(scored, labels)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_threshold_with_ties(spark, seed):
+    rng = random.Random(seed)
+    scored = [(i, rng.choice([1, 3, 8, 12, 24, 30]), s, float(rng.choice([0.8, 1, 1.25, 2, 3]))) for i in range(60) for s in ("law", "health") if rng.random() < 0.6]
+    labels = {i: set(rng.sample(["law", "health", "travel"], rng.randint(1, 2))) for i in range(0, 90, 2)}
+    pairs = [(i, s) for i, held in labels.items() for s in held] * 2 + [(1, None)]
+    got = subjects.calibrate(spark.createDataFrame(scored, SCORED), spark.createDataFrame(pairs, LABELS), "doc_id")
+    assert got == best_by_hand(scored, labels)
+    assert subjects.calibrate(spark.createDataFrame([], SCORED), spark.createDataFrame(pairs, LABELS), "doc_id") == subjects.DEFAULT
+
+
 def test_subjects_defined_cases(spark):
     schema = "doc_id bigint, text string, subject string"
     rows = [(1, None, "z"), (2, "", "z"), (3, "The nurse called the patient. The vaccine is in the ward.", "z"), (4, "nurse patient vaccine clinic. " * 30_000, "z"), (5, "nothing here", "z"), (3, "The nurse called the patient.", "z")]
